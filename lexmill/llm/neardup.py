@@ -27,7 +27,7 @@ from lexmill.plans.stage import stage
 from lexmill.sources.tables import live_rows
 
 HASHES = 64
-BANDS, ROWS = 12, 2  # at similarity 0.6 all bands miss with probability 0.64 ** 12 = 0.5 %
+BANDS, ROWS = 20, 3  # at similarity 0.6 all bands miss with probability (1 - 0.6 ** 3) ** 20 = 0.8 %
 BLOCK = 1024  # fingerprints of one tree
 _WORD = re.compile("[a-z0-9]+")
 _U = np.uint64
