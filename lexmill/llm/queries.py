@@ -66,9 +66,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = live_rows(read_table(spark, sf_dir, "chunks"), ["chunk_id"], "made_at", ["section_uid", "text"])
-    items = read_table(spark, sf_dir, "items").where("id IS NOT NULL").select(F.col("id").alias("key"), F.lit(None).cast("string").alias("grp"), F.col("question").alias("text"))
-    return chunks.select(F.col("chunk_id").alias("key"), F.col("section_uid").alias("grp"), "text").union(items)
+    chunks = read_table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("key"), F.col("section_uid").alias("grp"), F.col("made_at").alias("at"), "text")
+    return chunks.union(read_table(spark, sf_dir, "items").select("id", F.lit(None).cast("string"), "built_at", "question"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.plans.stage import stage
+from lexmill.sources.tables import live_rows
 
 GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
-#: White space as ``str.isspace`` has it.
-SPACES = r"[ \t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _U = np.uint32
 
 
@@ -109,33 +109,52 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 _CACHE = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def squeezed(text: str | Column) -> Column:
+def squeeze(text: str) -> str:
     """Each run of white space as one blank, the ends trimmed; nothing else is altered."""
-    return F.btrim(F.regexp_replace(text, SPACES, " "))
+    return " ".join(text.split())
+
+
+def _names(texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """The two halves of a 128-bit digest of each text."""
+    halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), ">i8").astype(np.int64)
+    return pa.array(halves[::2]), pa.array(halves[1::2])
 
 
 def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(members, spans) of live ``records`` with columns key, grp and text.
+    """(members, spans) of the live rows of ``records`` with columns key, grp, at and text.
 
-    ``members``: key, grp, t1, t2, chars - each record and the digest of its squeezed text, so that
-    copies are one text. ``spans``: a1, a2, b1, b2, a_from, b_from, chars - for two different texts
-    every maximal common span of at least ``least`` characters that a shared chunk lies in, a's
-    digest the smaller. Null keys and null texts are left out; shorter texts are members only.
+    ``members``: key, grp, t1, t2, chars - each live record and the digest of its squeezed text, so
+    that copies are one text. ``spans``: a1, a2, b1, b2, a_from, b_from, chars - for two different
+    texts every maximal common span of at least ``least`` characters that a shared chunk lies in,
+    a's digest the smaller. Null keys and null texts are left out; shorter texts are members only.
 
     A digest may be common to any number of texts. Of the chunks two texts share in a row only the
-    first asks for a measurement, so a pair costs one row per span and not one per chunk."""
-    squeezed_rows = records.where("key IS NOT NULL AND text IS NOT NULL").select("key", "grp", squeezed("text").alias("text"))
-    digest = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2")]
-    members = squeezed_rows.select("key", "grp", *digest, F.length("text").alias("chars")).dropDuplicates(["key", "grp"])
-    long = squeezed_rows.where(F.length("text") >= least).select(*digest, "text")
+    first asks for a measurement, so a pair costs one row per span and not one per chunk. Texts are
+    cut where they are read; only those that a shared chunk involves are compared, after one shuffle."""
+    rows = records.where("key IS NOT NULL AND text IS NOT NULL").select("key", "grp", "at", "text")
+    at = rows.schema["at"].dataType.simpleString()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [squeeze(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_names(texts), pa.array([len(t) for t in texts], pa.int32())], names=["key", "grp", "at", "t1", "t2", "chars"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, start, number, d = chunk_digests(batch.column(1).to_pylist())
+            texts = [t for t in map(squeeze, batch.column(0).to_pylist()) if len(t) >= least]
+            owner, start, number, d = chunk_digests(texts)
             place = (start << 32) | (number & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(d), batch.column(0).take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(d), _names(texts)[0].take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in map(squeeze, batch.column(0).to_pylist()) if len(t) >= least]
+            yield pa.RecordBatch.from_arrays([*_names(texts), pa.array(texts, pa.string())], names=["t1", "t2", "text"])
 
-    chunks = long.select("t1", "text").mapInArrow(run, "digest long, t1 long, place long")
+    named = rows.mapInArrow(name, f"key string, grp string, at {at}, t1 long, t2 long, chars int")
+    members = stage(live_rows(named, ["key"], "at", ["grp", "t1", "t2", "chars"]), "spans-members")
+    # Superseded texts are cut too, and fall out where texts are joined with live members.
+    chunks = rows.select("text").where(F.length("text") >= least).mapInArrow(cut, "digest long, t1 long, place long")
     same = Window.partitionBy("digest")
     # Chunks of one text only are told apart from shared ones by the ends of the group.
     shared = chunks.select("*", F.min("t1").over(same).alias("low"), F.max("t1").over(same).alias("high")).where("low < high")
@@ -150,6 +169,8 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     anchors = pairs.groupBy("a1", "b1", (F.col("a_at") - F.col("b_at")).alias("shift")).agg(F.collect_set("a_at").alias("at"))
     anchors = stage(anchors, "spans-anchors")
     involved = anchors.select(F.col("a1").alias("t1")).union(anchors.select(F.col("b1").alias("t1"))).distinct()
+    involved = involved.join(members, "t1", "left_semi")
+    long = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
     texts = stage(long.join(involved, "t1", "left_semi").dropDuplicates(["t1", "t2"]), "spans-texts")
     side = lambda s: texts.select(F.col("t1").alias(f"{s}1"), F.col("t2").alias(f"{s}2"), F.col("text").alias(f"{s}_text"))
     both = anchors.join(side("a"), "a1").join(side("b"), "b1").select("a1", "a2", "b1", "b2", "shift", "at", "a_text", "b_text")
