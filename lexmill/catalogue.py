@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans import corpus_queries, search_queries
+
+_MODULES = (search_queries, corpus_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search_queries.ranking_metrics(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for module in _MODULES for q in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
