@@ -34,7 +34,13 @@ def run_available(spark: SparkSession, path: str, operator: Callable[[DataFrame]
     mode complete each batch replaces the result, with append it adds to it."""
     schema = spark.read.parquet(path).schema
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    result = operator(spark.readStream.schema(schema).parquet(path))
+    source = spark.readStream.schema(schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # A stream's source is a folder: a single file is picked out of its own by name.
+        folder, _, name_ = path.rpartition("/")
+        source, path = source.option("pathGlobFilter", name_), folder
+    result = operator(source.parquet(path))
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
