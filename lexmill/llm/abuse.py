@@ -235,7 +235,8 @@ _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _WORDS = re.compile(r"\w+")
 _ENDS = re.compile(r"[.?!\n]+(?=\s|$|[\"'”)])|\n")
 _YOU = re.compile(r"\b(?:you|your|yours|yourself|vous|ta|tu|ihr|du|euch|sois|os|kamu|vosotros|ustedes)\b")
-MASK = "\x01masked\x01"
+#: What stands for a word with letters struck out. With one letter on each side it may be a product.
+MASK, MASK_SHORT = "\x01masked\x01", "\x01short\x01"
 
 
 def _unsign(match: re.Match) -> str:
@@ -254,7 +255,7 @@ def fold(text: str) -> str:
     if "_" in t or "." in t or "-" in t or "*" in t or " " in t:
         t = _APART.sub(lambda m: re.sub(r"[._*\- ]", "", m.group()), t)
     if "*" in t or "#" in t:
-        t = _MASKED.sub(f" {MASK} ", t)
+        t = _MASKED.sub(lambda m: f" {MASK if len(m.group()) > 3 else MASK_SHORT} ", t)
     t = _SIGNED.sub(_unsign, t)
     return _STRETCHED.sub(r"\1", t)
 
@@ -299,7 +300,7 @@ def automaton():
         entries[line.strip()] = 1.0
     for line in HINTS.strip().splitlines():
         entries.setdefault(line.strip(), 0.3)
-    entries[MASK] = 1.0
+    entries |= {MASK: 1.0, MASK_SHORT: 0.7}
     for line in EXCEPTIONS.strip().splitlines():
         weight, _, phrase = line.strip().partition(" ")
         entries[phrase] = float(weight)
