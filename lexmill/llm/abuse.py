@@ -43,9 +43,9 @@ MILD = """
 idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits parasite parasites leech leeches leeche
 vermin filth swine pig pigs rat rats maggot maggots cockroach cockroaches bloodsucker bloodsuckers degenerate
 degenerates animal animals clown clowns crooked thieving worthless stinking slimy toothless inbred spineless filthy
-pathetic rotten lying lazy greedy useless stupid ugly dumb cripple cripples naked nude nudes breasts thighs grope
+suck sucks sucked sucking pathetic rotten lying lazy greedy useless stupid ugly dumb cripple cripples naked nude nudes breasts thighs grope
 groping spank spanking lick licking stripper undress undressed selfies sexy kinky orgasm erotic nipples bloody
-abruti abrutis ordure ordures porc porcs rats ratten ratte schwein schweine idioten idiot cerdo cerdos rata ratas
+anjing abruti abrutis ordure ordures porc porcs rats ratten ratte schwein schweine idioten idiot cerdo cerdos rata ratas
 parásito parásitos imbécil tikus kotor haram
 """
 # Phrases that threaten, demean or solicit whatever else the sentence says.
@@ -161,6 +161,7 @@ haram jadah
 bodoh macam babi
 tikus kotor
 kamu semua bodoh
+tutup mulut
 """
 # Half a threat or insult: needs company.
 HINTS = """

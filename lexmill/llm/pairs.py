@@ -27,7 +27,7 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen und ist nicht bis zum zur muss soll darf wird mit bei nach von vor auf im wie wer wann welche innerhalb danach oft einmal jeder kann ich leider diese nicht für sich werden",
     "fr": "le la les des du un une et est ne pas à dans chaque doit peut devrait puis avant après selon sans je qui quelle que pour au aux en tenu délai sur il ce cette suis être par de",
     "es": "el la los las un una y es no que del al en con cada debe puede debería tiene luego antes después según sin qué quién cuándo para por se plazo lo me esta este siento de frecuencia",
-    "ms": "yang dan di ke itu ini untuk dengan perlu boleh hendaklah mesti setiap selepas sebelum dalam tempoh kemudian menurut tidak saya siapa bila apakah berapa kerapkah pihak hari oleh maaf dapat adalah",
+    "ms": "yang dan di ke itu ini untuk dengan perlu boleh hendaklah mesti setiap selepas sebelum dalam tempoh kemudian menurut tidak saya siapa bila apakah berapa kerapkah pihak hari oleh maaf dapat adalah tanpa telah akan atau juga kepada antara bagi mereka kami kita semua seperti",
 }
 # What stands for an answer where there is none.
 PLACEHOLDERS = """
@@ -100,13 +100,15 @@ def says_nothing(answer: str | None) -> bool:
 
 
 def language(text: str) -> tuple[str | None, dict[str, float]]:
-    """The language with most function words and the scores; None below two words."""
+    """The language with most function words and the scores; None below two words, or below one where
+    no other language has any."""
     scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for w in words_of(text):
         for lang, known in _languages().items():
             scores[lang] += known.get(w, 0.0)
     best = max(scores, key=scores.get)
-    return (best if scores[best] >= 2 else None), scores
+    alone = scores[best] >= 1 and sum(scores.values()) == scores[best]
+    return (best if scores[best] >= 2 or alone else None), scores
 
 
 def added_bytes(question: str, answer: str) -> int:
@@ -155,7 +157,7 @@ def wrong_language(question: str | None, answer: str) -> bool:
     spoken, scores = language(answer)
     if asked is None or spoken is None or asked == spoken:
         return False
-    return scores[spoken] >= 2 and scores[spoken] > 1.5 * scores[asked]
+    return scores[spoken] > 1.5 * scores[asked] and (scores[spoken] >= 2 or len(words_of(answer)) >= 5)
 
 
 def _key(word: str) -> str:
