@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus_queries, evaluation_queries, search_queries
+from lexmill.plans import corpus_queries, evaluation_queries, search_queries, selection_queries
 
-_MODULES = (search_queries, corpus_queries, evaluation_queries)
+_MODULES = (search_queries, corpus_queries, evaluation_queries, selection_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
