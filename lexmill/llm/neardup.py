@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.plans.stage import stage
@@ -153,12 +153,12 @@ def _sketched(df: DataFrame, key: str, group: str, at: str, text: str, n: int) -
 
 def _candidates(classes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of the first digests of classes that a shard's tree brings together."""
-    shard = Window.partitionBy("shard")
     rows = classes.select(F.explode("keys").alias("shard"), F.col("d1").alias("item"), "fp")
-    rows = rows.withColumn("n", F.count("*").over(shard)).where("n > 1").withColumn("at", F.row_number().over(shard.orderBy("item")) - 1)
+    # Counts are aggregated before their shuffle and joined back, so that no task holds a whole shard.
+    counts = classes.select(F.explode("keys").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     # A shard above the block size is cut into blocks: each member is held by the tree of its own
     # block and asks the trees of all blocks before it.
-    rows = rows.withColumn("own", F.floor(F.col("at") / block).cast("int"))
+    rows = rows.join(counts, "shard").withColumn("own", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / block).cast("int")).cast("int"))
     rows = rows.select("shard", "item", "fp", "own", F.explode(F.sequence(F.lit(0), "own")).alias("tree"))
     rows = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "own", "item")
 
@@ -192,7 +192,7 @@ def near_duplicates(df: DataFrame, key: str, group: str, at: str, text: str = "t
     are one class. Shards of any size are searched whole, in blocks."""
     sketched = stage(_sketched(df, key, group, at, text, n), "neardup-sketch")
     members = live_rows(sketched, ["key"], "at", ["grp", "d1", "d2"])
-    classes = sketched.select("d1", "d2", "fp", "keys").dropDuplicates(["d1", "d2"])
+    classes = stage(sketched.select("d1", "d2", "fp", "keys").dropDuplicates(["d1", "d2"]).select("d1", "fp", "keys"), "neardup-classes")
     pairs = stage(_candidates(classes, search_radius(similarity)), "neardup-candidates")
 
     involved = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()

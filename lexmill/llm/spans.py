@@ -48,7 +48,9 @@ def gear_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def cut_points(codes: np.ndarray) -> np.ndarray:
-    """Positions whose gear hash is below all within NEAR before and not above any within NEAR after."""
+    """Positions whose gear hash is not above any within NEAR before or after.
+
+    In a run of one character, or of a few that repeat, many positions tie and all are cut-points."""
     h = gear_hashes(codes)
     size = len(h)
     if size < 2 * NEAR + 1:
@@ -60,7 +62,7 @@ def cut_points(codes: np.ndarray) -> np.ndarray:
         width *= 2
     middle = np.arange(NEAR, size - NEAR)
     mine = h[middle]
-    return middle[(mine < low[middle - NEAR]) & (mine <= low[middle + 1])]
+    return middle[(mine <= low[middle - NEAR]) & (mine <= low[middle + 1])]
 
 
 def chunk_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +93,10 @@ def chunk_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     digest = (prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64)
     digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     digest ^= digest >> np.uint64(32)
-    kept = last > number
+    # Of a repetition, whose chunks are all equal, the first and the last stand for the others.
+    inner = np.zeros(len(cuts), bool)
+    inner[1:-1] = (digest[1:-1] == digest[:-2]) & (digest[1:-1] == digest[2:]) & (owner[1:-1] == owner[:-2]) & (owner[1:-1] == owner[2:])
+    kept = (last > number) & ~inner
     return owner[kept], (cuts - (ends - sizes)[owner])[kept], number[kept], digest.view(np.int64)[kept]
 
 
@@ -140,11 +145,17 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_names(texts), pa.array([len(t) for t in texts], pa.int32())], names=["key", "grp", "at", "t1", "t2", "chars"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text are cut once a task, or once in so many texts
         for batch in batches:
             texts = [t for t in map(squeeze, batch.column(0).to_pylist()) if len(t) >= least]
-            owner, start, number, d = chunk_digests(texts)
+            names = dict(zip(_names(texts)[0].to_pylist(), texts))
+            fresh = {n: t for n, t in names.items() if n not in seen}
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(fresh)
+            owner, start, number, d = chunk_digests(list(fresh.values()))
             place = (start << 32) | (number & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(d), _names(texts)[0].take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(list(fresh), pa.int64()).take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

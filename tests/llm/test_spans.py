@@ -64,3 +64,21 @@ def test_superseded_and_empty(spark):
     assert S.shared_pairs(members, spans).count() == 0
     members, spans = S.shared_spans(spark.createDataFrame([], SCHEMA))
     assert S.shared_pairs(members, spans).count() == 0
+
+
+def test_repetitions(spark):
+    random.seed(5)
+    prose = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    tail = prose(70)
+    texts = {
+        "dash1": prose(50) + "-" * 150 + prose(60), "dash2": prose(40) + "-" * 400 + prose(70), "dash3": prose(90) + "-" * 120 + prose(30),
+        "two": prose(20) + "-" * 100 + prose(60) + "-" * 145 + prose(20), "pair1": prose(33) + "+=" * 80 + prose(44), "pair2": "+=" * 90 + prose(20),
+        "end1": prose(30) + "." * 90 + tail, "end2": prose(60) + "." * 130 + tail, "long": "_" * 30_000, "long2": "x" + "_" * 30_001,
+    }
+    df = spark.createDataFrame([(k, None, T0, t) for k, t in texts.items()], SCHEMA)
+    got = {tuple(r) for r in S.shared_pairs(*S.shared_spans(df)).distinct().collect()}
+    keys = sorted(texts)
+    plain = {k: S.squeeze(t) for k, t in texts.items()}
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if {a, b} == {"long", "long2"} or not {a, b} & {"long", "long2"} and longest(plain[a], plain[b]) >= 140}
+    assert got == want
+    assert len(S.chunk_digests([plain["long"]])[0]) <= S.REACH + 10
