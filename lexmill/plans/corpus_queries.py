@@ -187,10 +187,10 @@ SELECT a.section_uid, string_agg(b.label, ' | ' ORDER BY b.ordinal, b.label) AS
 a AS (SELECT section_uid, doc_id, n, array_to_string(parts[1:n], '.') AS path FROM (SELECT *, unnest(range(1, len(parts))) AS n FROM s)),
 u AS (SELECT a.section_uid, n, s.section_uid AS up FROM a JOIN s ON s.doc_id = a.doc_id AND s.section_path = a.path)
 SELECT s.section_uid, coalesce(depth, 0) AS depth, parent_uid FROM (SELECT DISTINCT section_uid FROM s) s LEFT JOIN (SELECT section_uid, count(*) AS depth, arg_max(up, n) AS parent_uid FROM u GROUP BY 1) USING (section_uid)""",
-    "representative_chunk": f"WITH {_CHUNKS} SELECT section_uid, arg_min(chunk_id, (ordinal, chunk_id)) AS chunk_id, arg_min(sha256(text), (ordinal, chunk_id)) AS sha, count(*) AS chunks, sum(length(text)) AS chars, sum(greatest(1, length(text) // 4)) AS tokens FROM ch WHERE section_uid IS NOT NULL AND ordinal IS NOT NULL GROUP BY 1",
-    "lineage": f"""WITH {_MAN}, {_SEC}, {_CHUNKS}, {_VERSIONS} SELECT doc_id, issuer, doc_type, coalesce(versions, 0) AS versions, coalesce(sections, 0) AS sections, coalesce(section_chars, 0) AS section_chars, coalesce(chunks, 0) AS chunks FROM man
+    "representative_chunk": f"WITH {_CHUNKS} SELECT section_uid, arg_min(chunk_id, (ordinal, chunk_id)) AS chunk_id, arg_min(sha256(text), (ordinal, chunk_id)) AS sha, count(*) AS chunks, sum(length(text))::BIGINT AS chars, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM ch WHERE section_uid IS NOT NULL AND ordinal IS NOT NULL GROUP BY 1",
+    "lineage": f"""WITH {_MAN}, {_SEC}, {_CHUNKS}, {_VERSIONS} SELECT doc_id, issuer, doc_type, coalesce(versions, 0) AS versions, coalesce(sections, 0) AS sections, coalesce(section_chars, 0)::BIGINT AS section_chars, coalesce(chunks, 0) AS chunks FROM man
 LEFT JOIN (SELECT doc_id, count(*) AS versions FROM ver GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS sections, sum(length(text)) AS section_chars FROM sec GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS chunks FROM ch GROUP BY 1) USING (doc_id)""",
-    "scan_routing": f"WITH {_SEC} SELECT doc_id, coalesce(sum(length(text)), 0) AS chars, coalesce(sum(length(text)), 0) < 200 AS route_to_scan, arg_min(section_uid, (ordinal, section_uid)) AS front FROM sec WHERE doc_id IS NOT NULL GROUP BY 1",
+    "scan_routing": f"WITH {_SEC} SELECT doc_id, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(sum(length(text)), 0) < 200 AS route_to_scan, arg_min(section_uid, (ordinal, section_uid)) AS front FROM sec WHERE doc_id IS NOT NULL GROUP BY 1",
     "eligible_obligations": f"WITH {_SEC} SELECT section_uid, doc_id, regexp_matches(text, '(?i)\\b(shall|must|is required to|are required to|should|may not|shall not)\\b') AS binds FROM sec WHERE section_path <> '0' AND NOT contains(section_path, '#') AND length(text) >= 200",
     "title_catalogue": f"""WITH {_MAN} SELECT doc_id, title, nullif(upper(trim(regexp_replace(regexp_extract(title, '{T.CODE_PATTERN}', 1), '\\s+', ' ', 'g'))), '') AS code,
 substr(regexp_replace(title, '[^A-Za-z0-9._\\-]+', '-', 'g'), 1, 36) || '.pdf' AS slug FROM man""",

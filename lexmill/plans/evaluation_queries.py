@@ -153,15 +153,15 @@ r AS (SELECT *, len(list_intersect(g, c)) = len(g) AS retrieved_gold, NOT coales
 _EV = "ev AS (SELECT *, (props->>'$.k')::DOUBLE AS tokens FROM events)"
 
 SQL = {
-    "agent_scorecard": f"""WITH {_OUT} SELECT arm, query_type, count(*) AS n, sum(retrieved_gold::INT) AS retrieved_gold, sum(cited_resolvable::INT) AS cited_resolvable, sum(abstained_correctly::INT) AS abstained_correctly, sum(within_budget::INT) AS within_budget, sum((retrieved_gold AND cited_resolvable AND abstained_correctly AND within_budget)::INT) AS success,
-round(avg(efficiency), 4) AS efficiency, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, sum(coalesce(asserted, 0)) AS asserted, sum(coalesce(unresolvable, 0)) AS unresolvable, sum(coalesce(in_tokens, 0) + coalesce(out_tokens, 0)) AS tokens FROM r GROUP BY GROUPING SETS ((arm, query_type), (arm))""",
+    "agent_scorecard": f"""WITH {_OUT} SELECT arm, query_type, count(*) AS n, sum(retrieved_gold::INT)::BIGINT AS retrieved_gold, sum(cited_resolvable::INT)::BIGINT AS cited_resolvable, sum(abstained_correctly::INT)::BIGINT AS abstained_correctly, sum(within_budget::INT)::BIGINT AS within_budget, sum((retrieved_gold AND cited_resolvable AND abstained_correctly AND within_budget)::INT)::BIGINT AS success,
+round(avg(efficiency), 4) AS efficiency, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, sum(coalesce(asserted, 0))::BIGINT AS asserted, sum(coalesce(unresolvable, 0))::BIGINT AS unresolvable, sum(coalesce(in_tokens, 0) + coalesce(out_tokens, 0))::BIGINT AS tokens FROM r GROUP BY GROUPING SETS ((arm, query_type), (arm))""",
     "abstention_rates": f"WITH {_ANS} SELECT arm, count(*) FILTER (NOT must_abstain) AS grounded, count(*) FILTER (must_abstain) AS negatives, round(avg(abstained::INT) FILTER (NOT must_abstain), 4) AS false_abstention, round(avg((NOT abstained)::INT) FILTER (must_abstain AND coalesce(error, '') = ''), 4) AS false_answer, round(avg(abstained::INT) FILTER (must_abstain), 4) AS correct_abstention FROM ans GROUP BY 1",
     "stop_reasons": f"WITH {_ANS} SELECT arm, stopped_by, count(*) AS n, round(avg(steps), 4) AS mean_steps FROM ans WHERE stopped_by <> '' GROUP BY 1, 2",
     "refusal_markers": f"WITH {_ANS} SELECT arm, refusal_marker, regexp_matches(lower(coalesce(answer, '')), '{'|'.join(agentlog.REFUSAL_MARKERS)}') AS phrase, abstained, count(*) AS n FROM ans GROUP BY ALL",
     "percentiles_four_ways": f"""WITH {_ANS}, s AS (SELECT arm, in_tokens, row_number() OVER (PARTITION BY arm ORDER BY in_tokens) - 1 AS i, count(in_tokens) OVER (PARTITION BY arm) AS n FROM ans WHERE in_tokens IS NOT NULL)
 SELECT arm, quantile_disc(in_tokens, 0.5)::DOUBLE AS p50_rank, quantile_disc(in_tokens, 0.95)::DOUBLE AS p95_rank, quantile_cont(in_tokens, 0.5) AS median, max(CASE WHEN i = least(n - 1, floor(0.95 * n)) THEN in_tokens END) AS p95_index, max(CASE WHEN i = least(n - 1, floor(0.5 * n)) THEN in_tokens END) AS upper_median FROM s GROUP BY 1""",
     "citation_resolution": f"WITH {_ANS}, c AS (SELECT arm, task_id, unnest(list_distinct(cited_uids)) AS uid FROM ans), s AS (SELECT DISTINCT section_uid FROM sections) SELECT arm, count(*) AS cited, count(section_uid) AS resolved, count(*) FILTER (section_uid IS NULL) AS unresolved FROM c LEFT JOIN s ON uid = section_uid GROUP BY 1",
-    "gold_citations": f"WITH {_ANS}, r AS (SELECT arm, query_type, list_distinct(coalesce(gold_uids, [])) AS g, list_distinct(coalesce(cited_uids, [])) AS c FROM ans) SELECT arm, query_type, count(*) AS n, sum(len(list_intersect(g, c))) AS hits, round(avg(len(list_intersect(g, c)) / len(g)), 4) AS mean_recall, count(*) FILTER (len(list_intersect(g, c)) = len(g)) AS full FROM r WHERE len(g) > 0 GROUP BY 1, 2",
+    "gold_citations": f"WITH {_ANS}, r AS (SELECT arm, query_type, list_distinct(coalesce(gold_uids, [])) AS g, list_distinct(coalesce(cited_uids, [])) AS c FROM ans) SELECT arm, query_type, count(*) AS n, sum(len(list_intersect(g, c)))::BIGINT AS hits, round(avg(len(list_intersect(g, c)) / len(g)), 4) AS mean_recall, count(*) FILTER (len(list_intersect(g, c)) = len(g)) AS full FROM r WHERE len(g) > 0 GROUP BY 1, 2",
     "run_diff": f"""WITH {_ANS}, l AS (SELECT * FROM ans WHERE arm = 'single_agent'), r AS (SELECT * FROM ans WHERE arm = 'supervisor'),
 d AS (SELECT coalesce(l.task_id, r.task_id) AS task_id, l.task_id IS NOT NULL AS inl, r.task_id IS NOT NULL AS inr, concat_ws(',', CASE WHEN l.abstained IS DISTINCT FROM r.abstained THEN 'abstained' END, CASE WHEN l.stopped_by IS DISTINCT FROM r.stopped_by THEN 'stopped_by' END, CASE WHEN l.n_tool_calls IS DISTINCT FROM r.n_tool_calls THEN 'n_tool_calls' END, CASE WHEN l.asserted IS DISTINCT FROM r.asserted THEN 'asserted' END, CASE WHEN l.cited_uids IS DISTINCT FROM r.cited_uids THEN 'cited_uids' END) AS f FROM l FULL JOIN r ON l.task_id = r.task_id)
 SELECT task_id, CASE WHEN NOT inr THEN 'left_only' WHEN NOT inl THEN 'right_only' WHEN f = '' THEN 'same' ELSE 'differs' END AS state, CASE WHEN inl AND inr THEN f END AS fields FROM d""",
@@ -174,7 +174,7 @@ SELECT user_id, arg_min(hit, step) FILTER (hit IS NOT NULL) AS ceiling, min(step
     "spend_rollup": f"WITH {_EV}, m AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM ev) SELECT event_type, month, count(*) AS steps, round(sum(coalesce(value, 0)), 2) AS seconds, sum(coalesce(tokens, 0))::BIGINT AS tokens FROM m GROUP BY ROLLUP (event_type, month)",
     "streamed_spend": f"WITH {_EV} SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS steps, round(sum(coalesce(value, 0)), 2) AS seconds, sum(coalesce(tokens, 0))::BIGINT AS tokens FROM ev GROUP BY 1, 2",
     "findings_reducer": "WITH c AS (SELECT user_id, max(event_id) AS cleared FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, event_type, max(event_id) AS event_id FROM events LEFT JOIN c USING (user_id) WHERE event_type <> 'error' AND user_id IS NOT NULL AND (cleared IS NULL OR event_id > cleared) GROUP BY 1, 2",
-    "trace_sample": "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events WHERE ('0x' || substr(sha256(event_id::VARCHAR), 1, 4))::INT < 6554 OR event_type = 'error' GROUP BY 1",
+    "trace_sample": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE ('0x' || substr(sha256(event_id::VARCHAR), 1, 4))::INT < 6554 OR event_type = 'error' GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS mean_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "nation_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name), ())",
 }
