@@ -22,6 +22,7 @@ from lexmill.sources.tables import live_rows
 
 GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
+HOT, STEP = 64, 8  # texts above which a chunk is paired by wider windows; how far apart these lie
 _U = np.uint32
 
 
@@ -133,8 +134,9 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     texts every maximal common span of at least ``least`` characters that a shared chunk lies in,
     a's digest the smaller. Null keys and null texts are left out; shorter texts are members only.
 
-    A digest may be common to any number of texts. Of the chunks two texts share in a row only the
-    first asks for a measurement, so a pair costs one row per span and not one per chunk. Texts are
+    A digest may be common to any number of texts; above HOT of them, texts are paired by windows of
+    nearly the whole length instead. Of the chunks two texts share in a row only the first asks for a
+    measurement, so a pair costs one row per span and not one per chunk. Texts are
     cut where they are read; only those that a shared chunk involves are compared, after one shuffle."""
     rows = records.where("key IS NOT NULL AND text IS NOT NULL").select("key", "grp", "at", "text")
     at = rows.schema["at"].dataType.simpleString()
@@ -174,14 +176,23 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     # The digest of the chunk that starts at the cut-point just before, if that one is shared too.
     shared = shared.select("digest", "t1", "start", F.when(F.lag("cut").over(before) == F.col("cut") - 1, F.lag("digest").over(before)).alias("ahead"))
     shared = stage(shared, "spans-chunks")
-    x, y = (shared.select("digest", F.col("t1").alias(f"{s}1"), F.col("start").alias(f"{s}_at"), F.col("ahead").alias(f"{s}_ahead")) for s in "ab")
-    pairs = x.join(y, "digest").where((F.col("a1") < F.col("b1")) & F.coalesce(F.col("a_ahead") != F.col("b_ahead"), F.lit(True)))
-    # One anchor for each pair and offset between the two texts.
+    long = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
+    hot = stage(shared.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("digest"), "spans-hot")
+    pairs = _joined(shared.join(hot, "digest", "left_anti").select("digest", "t1", "start", "ahead"))
+    if hot.limit(1).count():
+        # A stock phrase of a chunk's length may stand in a third of all texts without a long span
+        # around it. Its texts are paired by wider windows, one of which any long span contains.
+        spots = shared.join(hot, "digest", "left_semi").select("t1", "start").distinct()
+        spots = spots.groupBy("t1").agg(F.collect_set("start").alias("starts"))
+        wide = spots.join(long.dropDuplicates(["t1", "t2"]), "t1").select("t1", "starts", "text").mapInArrow(lambda it: _windows(it, least), "digest long, t1 long, start int")
+        both = stage(wide.dropDuplicates(), "spans-wide")
+        several = both.groupBy("digest").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low < high").select("digest")
+        pairs = pairs.unionByName(_joined(both.join(several, "digest", "left_semi").withColumn("ahead", F.lit(None).cast("long"))))
+    # One row for each pair and offset between the two texts, with the places to measure around.
     anchors = pairs.groupBy("a1", "b1", (F.col("a_at") - F.col("b_at")).alias("shift")).agg(F.collect_set("a_at").alias("at"))
     anchors = stage(anchors, "spans-anchors")
     involved = anchors.select(F.col("a1").alias("t1")).union(anchors.select(F.col("b1").alias("t1"))).distinct()
     involved = involved.join(members, "t1", "left_semi")
-    long = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
     texts = stage(long.join(involved, "t1", "left_semi").dropDuplicates(["t1", "t2"]), "spans-texts")
     side = lambda s: texts.select(F.col("t1").alias(f"{s}1"), F.col("t2").alias(f"{s}2"), F.col("text").alias(f"{s}_text"))
     both = anchors.join(side("a"), "a1").join(side("b"), "b1").select("a1", "a2", "b1", "b2", "shift", "at", "a_text", "b_text")
@@ -202,6 +213,32 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     return members, spans
 
 
+def _joined(shared: DataFrame) -> DataFrame:
+    """a1, b1, a_at, b_at: two texts and the starts of a chunk they share, unless the chunk ahead of
+    it is shared as well."""
+    x, y = (shared.select("digest", F.col("t1").alias(f"{s}1"), F.col("start").alias(f"{s}_at"), F.col("ahead").alias(f"{s}_ahead")) for s in "ab")
+    pairs = x.join(y, "digest").where((F.col("a1") < F.col("b1")) & F.coalesce(F.col("a_ahead") != F.col("b_ahead"), F.lit(True)))
+    return pairs.select("a1", "b1", "a_at", "b_at")
+
+
+def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Digests of the windows of least - STEP characters around each start, every STEP characters.
+
+    A span of ``least`` that holds the start reaches some distance a before it; the window from the
+    multiple of STEP below a lies in the span whole."""
+    size = least - STEP
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for t1, starts, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for p in starts:
+                for before in [*range(0, size, STEP), size]:
+                    if p >= before and p - before + size <= len(text):
+                        window = text[p - before : p - before + size]
+                        out.append((xxhash.xxh3_64_intdigest(f"{before}|{window}".encode("utf-8", "surrogatepass")) - (1 << 63), t1, p))
+        columns = list(zip(*out)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["digest", "t1", "start"])
+
+
 def _runs(a: np.ndarray, b: np.ndarray, shift: int, at: list[int], least: int) -> list[tuple[int, int]]:
     """(start in a, length) of the runs equal at this shift, of at least ``least``, that hold an anchor."""
     low, high = max(0, shift), min(len(a), len(b) + shift)

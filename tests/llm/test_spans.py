@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from lexmill.llm import spans as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -15,7 +17,9 @@ def longest(a, b):
     return best
 
 
-def test_pairs_and_shares_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [64, 1])
+def test_pairs_and_shares_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     random.seed(7)
     word = lambda: "".join(random.choices("abcdefgh", k=random.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -82,3 +86,13 @@ def test_repetitions(spark):
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if {a, b} == {"long", "long2"} or not {a, b} & {"long", "long2"} and longest(plain[a], plain[b]) >= 140}
     assert got == want
     assert len(S.chunk_digests([plain["long"]])[0]) <= S.REACH + 10
+
+
+def test_a_stock_phrase_in_many_texts_is_no_pair(spark):
+    random.seed(6)
+    prose = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    phrase = prose(110)
+    rows = [(f"r{i:03d}", None, T0, "x" + prose(60) + "#" + phrase + "#" + prose(60)) for i in range(150)]
+    rows += [("s1", None, T0, prose(30) + "##" + phrase + "##" + "tail of some length that both have"), ("s2", None, T0, prose(50) + "##" + phrase + "##" + "tail of some length that both have")]
+    members, spans = S.shared_spans(spark.createDataFrame(rows, SCHEMA))
+    assert [tuple(r) for r in S.shared_pairs(members, spans).distinct().collect()] == [("s1", "s2")]
