@@ -22,7 +22,7 @@ from lexmill.sources.tables import live_rows
 
 GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
-HOT, STEP = 64, 8  # texts above which a chunk is paired by wider windows; how far apart these lie
+HOT, STEP = 512, 8  # texts above which a chunk is paired by wider windows; how far apart these lie
 _U = np.uint32
 
 

@@ -17,7 +17,7 @@ def longest(a, b):
     return best
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [512, 1])
 def test_pairs_and_shares_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     random.seed(7)
@@ -92,7 +92,7 @@ def test_a_stock_phrase_in_many_texts_is_no_pair(spark):
     random.seed(6)
     prose = lambda n: "".join(random.choices("abcdefgh ", k=n))
     phrase = prose(110)
-    rows = [(f"r{i:03d}", None, T0, "x" + prose(60) + "#" + phrase + "#" + prose(60)) for i in range(150)]
+    rows = [(f"r{i:03d}", None, T0, "x" + prose(60) + "#" + phrase + "#" + prose(60)) for i in range(600)]
     rows += [("s1", None, T0, prose(30) + "##" + phrase + "##" + "tail of some length that both have"), ("s2", None, T0, prose(50) + "##" + phrase + "##" + "tail of some length that both have")]
     members, spans = S.shared_spans(spark.createDataFrame(rows, SCHEMA))
     assert [tuple(r) for r in S.shared_pairs(members, spans).distinct().collect()] == [("s1", "s2")]
