@@ -32,7 +32,7 @@ def col(c: str | Column) -> Column:
 
 def tokens(text: str | Column) -> Column:
     """Runs of two or more ASCII letters of the lower-cased text, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), 0)
 
 
 def bigrams(text: str | Column) -> Column:
