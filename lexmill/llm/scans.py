@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,6 +77,8 @@ class Lexicon:
         self.counts = counts
         self.total = max(1, sum(counts.values()))
         self._read: dict[str, tuple[str, int] | None] = {}
+        self._starts: list[str] | None = None
+        self.sound: set[str] = set()
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
@@ -100,6 +103,23 @@ class Lexicon:
         self._read[token] = best
         return best
 
+    def keep(self, word: str) -> None:
+        """Remember a word that stands, so that it is judged once."""
+        if len(self.sound) > 200_000:
+            self.sound.clear()
+        self.sound.add(word)
+
+    def cut_off(self, word: str) -> bool:
+        """Whether a word may be the start of a longer one in which it breaks off."""
+        if self._starts is None:
+            self._starts = sorted(self.counts)
+        i = bisect_right(self._starts, word)
+        while i < len(self._starts) and self._starts[i].startswith(word):
+            if self.counts[self._starts[i]] >= LIKELIER * self.count(word):
+                return True
+            i += 1
+        return False
+
     def cost(self, word: str) -> float:
         return math.log(self.total / (self.count(word) or 1e-3))
 
@@ -160,11 +180,11 @@ def divided(head: str, mark: str, tail: str, lexicon: Lexicon) -> str | None:
     n, joined = lexicon.count(whole), lexicon.count(compound)
     if joined > n:
         return None
-    if n:
-        return whole
     read = lexicon.reading(whole)
     if read:
         return read[0]
+    if n:
+        return whole
     if mark in _TIGHT and (joined or lexicon.reading(compound) or (lexicon.count(head.lower()) and lexicon.count(tail.lower()) >= 5)):
         return None
     return whole
@@ -198,30 +218,42 @@ def inspect(text: str, lexicon: Lexicon) -> tuple[bool, bool, bool, list[str]]:
         if tokens and i + 1 < len(body) and len(tokens[-1]) > 1 and tokens[-1][-1] in _MARKS and tokens[-1][-2].isalpha():
             carried, tokens = tokens[-1], tokens[:-1]
         if not misread:
-            for t in tokens:
+            for k, t in enumerate(tokens):
                 core = _core(t)
-                if core and core not in lexicon.counts and _suspect(core) and _misread(core, lexicon, t):
-                    misread = True
-                    break
+                if not core or core in lexicon.sound and t[0] != "(":
+                    continue
+                if not (_suspect(core) and _misread(core, lexicon, t)):
+                    if t[0] != "(":
+                        lexicon.keep(core)
+                else:
+                    following = tokens[k + 1] if k + 1 < len(tokens) else next((x.split()[0] for x in body[i + 1 :] if x.strip()), "")
+                    if not _breaks_off(t, following, core, lexicon):
+                        misread = True
+                        break
     return hyphen, misread, bool(numbers), list(headers.values())
 
 
+def _breaks_off(token: str, following: str, core: str, lexicon: Lexicon) -> bool:
+    """Whether a known word ends a sentence and is rather the start of a longer one cut short than misread."""
+    ends = token[-1] in ".!?" or not following or following.lstrip("(\"'[“‘")[:1].isupper()
+    return ends and lexicon.count(core) > 0 and lexicon.cut_off(core)
+
+
 def _misread(core: str, lexicon: Lexicon, raw: str) -> bool:
     n = lexicon.count(core)
-    if n and not any(c.isdigit() for c in core) and n >= 1000:
-        return False
     if "-" in core and not n:
         parts = [p for p in core.split("-") if p]
-        if all(lexicon.count(p) for p in parts):
-            return False
-        if lexicon.reading(core):
+        if any(_suspect(p) and lexicon.reading(p) is not None for p in parts):
             return True
-        return any(_suspect(p) and lexicon.reading(p) is not None for p in parts if not lexicon.count(p))
+        return not all(lexicon.count(p) for p in parts) and lexicon.reading(core) is not None
     if lexicon.reading(core) is not None:
         return True
     if core.endswith("'s") or core.endswith("’s"):
-        return not lexicon.count(core[:-2]) and lexicon.reading(core[:-2]) is not None
-    return raw.startswith("(") and raw[1:2].isalpha() and ")" not in raw and not n and lexicon.reading("(" + core) is not None
+        return lexicon.reading(core[:-2]) is not None
+    if raw.startswith("(") and raw[1:2].isalpha() and ")" not in raw:
+        read = lexicon.reading("(" + core)
+        return read is not None and lexicon.count(read[0]) >= LIKELIER * n
+    return False
 
 
 # ---- repair -------------------------------------------------------------------------------------
@@ -240,7 +272,7 @@ def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> list[str]:
             continue
         piece, after = pieces[i]
         core = _core(piece)
-        for cost, words in _alone(piece, core, lexicon):
+        for cost, words in _alone(piece, core, lexicon, pieces[i + 1][0] if i + 1 < n else ""):
             if here + cost < best[i + 1][0]:
                 best[i + 1] = (here + cost, i, words)
         if i + 1 < n and after != " " and core:
@@ -268,15 +300,16 @@ def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> list[str]:
     return [w for words in reversed(out) for w in words]
 
 
-def _alone(piece: str, core: str, lexicon: Lexicon) -> Iterator[tuple[float, list[str]]]:
+def _alone(piece: str, core: str, lexicon: Lexicon, following: str) -> Iterator[tuple[float, list[str]]]:
     known = lexicon.count(core)
+    read = lexicon.reading(core) if core and _suspect(core) else None
+    if read and not _breaks_off(piece, following, core, lexicon):
+        yield lexicon.cost(read[0]) + 2.0 * read[1] - (0 if not known else -1), [_recased(piece, read[0])]
+        return
     yield (lexicon.cost(core) if core else 0.0), [piece]
-    if not core or known >= 1000 or not _suspect(core):
+    if not core or read or not _suspect(core):
         return
-    read = lexicon.reading(core)
-    if read:
-        yield lexicon.cost(read[0]) + 2.0 * read[1] - (0 if not known else -1), [_recased(piece, read[0])]
-    elif not known and piece.isalpha() and len(core) >= 6:
+    if not known and piece.isalpha() and len(core) >= 6:
         for k in range(2, len(core) - 1):
             a, b = core[:k], core[k:]
             if lexicon.count(a) and lexicon.count(b):

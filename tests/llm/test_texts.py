@@ -97,6 +97,23 @@ def test_scan_noise_on_a_table(spark):
     assert done["a"] == done["b"] == done["c"] == clean and done["n"] is None and done["e"] == ""
 
 
+def test_a_misreading_that_recurs_is_none_of_the_words(spark):
+    lex = scans.Lexicon(LEX.counts | {"wifhin": 9, "fhe": 3, "rep": 4, "scopc": 3, "scope": 500})
+    assert scans.inspect("The bank shall keep records wifhin three weeks", lex)[1] and scans.repair("records wifhin three weeks", [], lex)[0] == "records within three weeks"
+    assert scans.inspect("a full-scopc review", lex)[1] and scans.inspect("The wif-\nhin", lex)[:2] == (True, True)
+    # In large tables a misreading is in many sections, too; a word as frequent as another is none.
+    large = scans.Lexicon({"within": 500_000, "wifhin": 1_500, "board": 90_000, "boord": 30_000})
+    assert scans.inspect("keep wifhin", large)[1] and not scans.inspect("the boord", large)[1]
+    # A word that breaks off at the end of a text is not misread.
+    short = scans.Lexicon({"and": 9000, "aud": 7, "audit": 800})
+    assert not scans.inspect("the external aud", short)[1] and scans.inspect("the board aud the bank", short)[1]
+    clean = "The bank shall keep records of each review within three weeks"
+    rows = [(f"s{i}", "d", T0, clean) for i in range(200)] + [(f"m{i}", "d", T0, clean.replace("within", "wifhin")) for i in range(5)]
+    df = spark.createDataFrame(rows, "section_uid string, doc_id string, made_at timestamp_ntz, text string")
+    man = spark.createDataFrame([], "doc_id string, issuer string, title string, doc_type string, fetched_at timestamp_ntz")
+    assert sorted(map(tuple, scans.scan_noise(df, man).collect())) == [(f"m{i}", "misread") for i in range(5)]
+
+
 # ---- packing ------------------------------------------------------------------------------------
 
 
