@@ -131,7 +131,7 @@ def _rate(x) -> Column:
     return F.greatest(F.lit(0.0), F.least(dot, F.col("cap").cast("double")))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, sample: int = SAMPLE, of_listed: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     ``mixture``: doc_id, source, tokens, uses - the texts used and how often; a text counts once
@@ -139,8 +139,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     target_share, max_repeats, available_tokens, reached_tokens, reached_share, texts - every
     listed source and every other one in ``documents``.
 
-    ``total_tokens`` is the wanted size; sources that cannot fill their share of it within their cap
-    stay below and the report says so. By default it is the greatest size at which every listed
+    ``total_tokens`` is the wanted size, or ``of_listed`` gives it as a multiple of the tokens that
+    the distinct texts of all listed sources hold; sources that cannot fill their share of it within
+    their cap stay at the cap and the report says so. By default it is the greatest size at which every listed
     source that has texts reaches its share. Null texts are left out; targets without a source, a
     share or a positive share are ignored, a null cap is 1. No target: an empty mixture."""
     # A configuration of a few rows.
@@ -154,7 +155,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     cap = F.element_at(F.array(*[F.lit(c) for c in caps]), F.greatest(best, F.lit(1)))
     in_domain = F.aggregate("member", F.lit(0.0), lambda a, m: a + m) > 0
     table = rows.withColumn("domain", F.when(in_domain, F.element_at(F.array(*[F.lit(n) for n in names]), F.greatest(best, F.lit(1))))).withColumn("cap", F.when(F.col("domain").isNotNull(), cap).otherwise(0))
-    room = table.where("source IS NOT NULL AND domain IS NOT NULL").groupBy("domain").agg(F.sum(F.col("tokens") * F.col("cap")).alias("room")).collect()
+    room = table.where("source IS NOT NULL AND domain IS NOT NULL").groupBy("domain").agg(F.sum(F.col("tokens") * F.col("cap")).alias("room"), F.sum("tokens").alias("held")).collect()
+    if total_tokens is None and of_listed is not None:
+        total_tokens = of_listed * sum(r["held"] for r in room)
     room = {r["domain"]: float(r["room"]) for r in room}
     there = sum(s for n, s in zip(names, shares) if room.get(n, 0) > 0)
     if total_tokens is None:

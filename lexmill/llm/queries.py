@@ -107,12 +107,17 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_containers(spark, sf_dir), read_table(spark, sf_dir, "containers"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A mixture as large as the texts of all listed sources together; short sources stay at their cap."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), of_listed=1.0)
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+    return _mixed(spark, sf_dir)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+    return _mixed(spark, sf_dir)[1]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lexmill.llm import abuse, mixing, packing, pairs, scans, tokens
+from lexmill.llm import abuse, mixing, packing, pairs, queries, scans, tokens
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -201,6 +201,21 @@ def test_mixture(spark):
     assert mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
+def test_registered_mixture_is_not_sized_by_its_smallest_source(spark, tmp_path):
+    df, _ = documents(spark)
+    df.select("doc_id", "text", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    targets = spark.createDataFrame([("alpha", 0.5, 1), ("beta", 0.2, 2), ("gamma", 0.25, 2), ("absent", 0.05, 4)], "source string, target_share double, max_repeats int")
+    targets.write.parquet(str(tmp_path / "mix_targets.parquet"))
+    table = {r["source"]: r for r in queries.p7_shares(spark, str(tmp_path)).collect()}
+    listed = sum(table[s]["available_tokens"] for s in ("alpha", "beta", "gamma"))
+    for s, share in (("alpha", 0.5), ("beta", 0.2)):
+        assert table[s]["reached_tokens"] == pytest.approx(share * listed, rel=0.03)
+    short = table["gamma"]
+    assert short["reached_tokens"] == 2 * short["available_tokens"] < 0.25 * listed and short["reached_share"] < 0.25
+    used = {r["doc_id"]: r["uses"] for r in queries.p7_mixture(spark, str(tmp_path)).collect()}
+    assert max(used.values()) <= 2 and table["absent"]["reached_tokens"] == 0
+
+
 def test_classifier_on_held_out_texts(spark):
     df, rows = documents(spark, 600)
     names = ["alpha", "beta", "gamma"]
