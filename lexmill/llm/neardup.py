@@ -142,11 +142,14 @@ def _sketched(df: DataFrame, key: str, group: str, at: str, text: str, n: int) -
         words = _WordHashes()
         for batch in batches:
             s = sketches(batch.column(3).to_pylist(), n, words)
-            kept = batch.select([0, 1, 2]).take(pa.array(s["i"]))
+            # A row without a sequence stays, with nulls: it may supersede one that has some.
+            place, none = np.zeros(len(batch), np.int64), np.ones(len(batch), bool)
+            place[s["i"]], none[s["i"]] = np.arange(len(s["i"])), False
+            place = pa.array(place, mask=none)
             keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(s["i"]) + 1, BANDS, dtype=np.int32), pa.array(s["keys"].ravel()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(s[c]) for c in ("d1", "d2", "size", "fp")), keys], names=["key", "grp", "at", "d1", "d2", "size", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[c]).take(place) for c in ("d1", "d2", "size", "fp")), keys.take(place)], names=["key", "grp", "at", "d1", "d2", "size", "fp", "keys"])
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(group).cast("string").alias("grp"), F.col(at).alias("at"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(group).cast("string").alias("grp"), F.col(at).alias("at"), F.col(text).alias("text")).where("key IS NOT NULL")
     kind = rows.schema["at"].dataType.simpleString()
     return rows.mapInArrow(run, f"key string, grp string, at {kind}, d1 long, d2 long, size int, fp long, keys array<long>")
 
@@ -191,8 +194,10 @@ def near_duplicates(df: DataFrame, key: str, group: str, at: str, text: str = "t
     Null keys, null texts and texts of fewer than n words belong to no class. Copies, however many,
     are one class. Shards of any size are searched whole, in blocks."""
     sketched = stage(_sketched(df, key, group, at, text, n), "neardup-sketch")
-    members = live_rows(sketched, ["key"], "at", ["grp", "d1", "d2"])
-    classes = stage(sketched.select("d1", "d2", "fp", "keys").dropDuplicates(["d1", "d2"]).select("d1", "fp", "keys"), "neardup-classes")
+    members = live_rows(sketched, ["key"], "at", ["grp", "d1", "d2"]).where("d1 IS NOT NULL")
+    # Classes that only superseded rows have are none: they would link and bridge what is live.
+    alive = sketched.join(members.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi")
+    classes = stage(alive.select("d1", "d2", "fp", "keys").dropDuplicates(["d1", "d2"]).select("d1", "fp", "keys"), "neardup-classes")
     pairs = stage(_candidates(classes, search_radius(similarity)), "neardup-candidates")
 
     involved = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()

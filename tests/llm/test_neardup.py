@@ -52,6 +52,25 @@ def test_superseded_texts_have_no_links(spark):
     assert pairs(*N.near_duplicates(spark.createDataFrame(rows, SCHEMA), "key", "grp", "at")) == set()
 
 
+def test_superseded_texts_are_in_no_group(spark, tmp_path):
+    from lexmill.llm import queries
+
+    words = [f"w{i}" for i in range(60)]
+    text = lambda i, j: " ".join(words[i:j])
+    rows = [
+        ("own", "1", T0, text(0, 40)), ("own", "1", T0 + dt.timedelta(1), text(0, 40) + " more"),  # alike to its own old version only
+        ("p", "2", T0, " ".join(f"p{i}" for i in range(40))), ("q", "3", T0, " ".join(f"p{i}" for i in range(16, 56))),  # 22 of 54 in common
+        ("bridge", "4", T0, " ".join(f"p{i}" for i in range(8, 48))), ("bridge", "4", T0 + dt.timedelta(1), "quite another text here"),
+        ("x", "5", T0, " ".join(f"x{i}" for i in range(40))), ("y", "6", T0, " ".join(f"x{i}" for i in range(41))),
+        ("emptied", "7", T0, " ".join(f"x{i}" for i in range(39))), ("emptied", "7", T0 + dt.timedelta(1), ""),
+        ("nulled", "8", T0, " ".join(f"x{i}" for i in range(39))), ("nulled", "8", T0 + dt.timedelta(1), None),
+    ]
+    spark.createDataFrame(rows, "chunk_id string, doc_id string, made_at timestamp_ntz, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = sorted(map(tuple, queries.p2_groups(spark, str(tmp_path)).select("chunk_id", "group_id", "n_links").collect()))
+    assert got == [("x", "x", 1), ("y", "x", 1)]
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("x", "y")]
+
+
 def test_empty_table(spark):
     members, links = N.near_duplicates(spark.createDataFrame([], SCHEMA), "key", "grp", "at")
     assert pairs(members, links) == set() and N.components(links).count() == 0
