@@ -1,17 +1,22 @@
 """Noise in text from scanned pages: finding and repairing it.
 
-Lines that a page carries are taken out, and what is left is read as one stream of characters. A
-lattice decoder segments the stream into words of the corpus: a piece may stand as it is, be joined
-with its neighbour over a line end with or without a hyphen, be split in two, or be read through the
-confusions of a recogniser; a word costs the less the more sections hold it. Line ends become blanks
-or paragraph ends by dynamic programming over the widths and the words around them.
+Lines that a page carries are taken out, and what is left is decoded as one stream of characters.
+The lattice has an edge for every way to read a stretch of the stream as a word of the corpus: as it
+stands, through the confusions of a recogniser, joined with what follows over a blank, a line end or
+a hyphen at one, or divided where a blank is missing. An edge costs the negative logarithm of the
+word's rate and of the rates of the noise it undoes; the cheapest path gives the words and the noise.
+Line ends become blanks or paragraph ends by dynamic programming over the lines, in which what a
+break costs depends on the kind and the length of the paragraph it closes.
+
+All decisions compare rates (sections that hold a word, as a share), so they are the same however
+large the corpus is.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,19 +27,22 @@ from pyspark.sql import functions as F
 from lexmill.plans.stage import stage
 from lexmill.sources.tables import live_rows
 
-# What a recogniser writes for what stands on the page.
+# What a recogniser writes for what stands on the page.
 CONFUSIONS = """
 1=l 1=i 0=o 5=s 9=g 6=b 8=b 2=z 3=e 4=a 7=t (=c [=c |=l |=i !=l !=i /=l $=s
 rn=m ri=n rr=n i'=r r'=r ii=u li=u il=u ll=u u=ii cl=d c1=d vv=w lc=k l<=k in=m m=rn m=in d=cl n=ri nn=m h=li li=h ti=h fi=h w=vv
 ﬁ=fi ﬂ=fl ﬀ=ff ﬃ=ffi ﬄ=ffl
 f=t t=f e=c c=e y=v v=y h=b b=h n=u u=n o=c c=o o=e e=o a=o o=a l=i i=l l=t t=l i=j j=i q=g g=q s=5 k=lc x=z z=x r=t
 """
-#: Sections a word must be in, as a share of all, to be broadcast with the lexicon. A section of d
-#: distinct words holds at most d of them, so the lexicon has at most d / LEXICON_SHARE words for
-#: the mean d, however large the corpus: some 70 * 50,000, in practice a few thousand.
+#: Sections a word must be in, as a share of all, to be in the lexicon; a rarer word has this rate. A
+#: section of d distinct words holds at most d of them, so the lexicon has at most d / LEXICON_SHARE
+#: words for the mean d, however large the corpus: some 70 * 50,000, in practice a few thousand.
 LEXICON_SHARE = 1 / 50_000
-LONGEST = 40  # characters of a word of any language; a longer run is a string and no word
-LIKELIER = 20  # how many times likelier a correction must be than the reading
+#: How many times likelier a reading must be than the token for one confusion and for two; how many
+#: times less likely a token of letters and figures is a word, and how many times likelier a short one.
+ONE, TWO, FIGURES, SHORT = 20.0, 80.0, 20 / 3, 5.0
+LIKELIER = ONE
+BLANK, DIVIDED = math.log(400.0), math.log(400.0)  # costs of a blank too many or a line end in a word, and of a missing blank
 _MARKS = "-‐‑–—¬\xad"
 _TIGHT = "-‐‑"
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)*")
@@ -53,56 +61,78 @@ def _confusions() -> dict[str, tuple[str, ...]]:
     return {k: tuple(v) for k, v in table.items()}
 
 
-def variants(token: str, edits: int = 2) -> Iterator[tuple[str, int]]:
-    """(reading, number of confusions undone), each reading once, few confusions first."""
-    table, done, level = _confusions(), {token}, [(token, 0)]
-    for n in range(1, edits + 1):
-        following = []
-        for word, since in level:
-            for i in range(since, len(word)):
-                for size in (1, 2):
-                    for true in table.get(word[i : i + size], ()) if i + size <= len(word) else ():
-                        other = word[:i] + true + word[i + size :]
-                        if other not in done:
-                            done.add(other)
-                            following.append((other, i + len(true)))
-                            yield other, n
-        level = following
-
-
 class Lexicon:
-    """How many sections hold a word, and the readings it allows."""
+    """In how many of ``sections`` each word is, and the readings these rates allow."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], sections: int = 0):
         self.counts = counts
-        self.total = max(1, sum(counts.values()))
-        self._read: dict[str, tuple[str, int] | None] = {}
-        self._starts: list[str] | None = None
+        self.least = max(1.0, sections * LEXICON_SHARE)
+        self.total = max(1.0, float(sum(counts.values())))
+        self.top = max(counts.values(), default=0)
+        self.words = sorted(counts)
         self.sound: set[str] = set()
+        self._read: dict[str, tuple[str, int] | None] = {}
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
 
+    def begins(self, start: str) -> bool:
+        """Whether a word begins so."""
+        k = bisect_left(self.words, start)
+        return k < len(self.words) and self.words[k].startswith(start)
+
+    def edges(self, token: str, start: int, most: int) -> Iterator[tuple[int, str, int]]:
+        """(end, word, confusions undone) of all words that the characters from ``start`` can be read as."""
+        table, todo = _confusions(), [(start, "", 0)]
+        while todo:
+            i, word, n = todo.pop()
+            if word in self.counts:
+                yield i, word, n
+            if i < len(token):
+                if self.begins(word + token[i]):
+                    todo.append((i + 1, word + token[i], n))
+                if n < most:
+                    for size in (1, 2):
+                        for true in table.get(token[i : i + size], ()) if i + size <= len(token) else ():
+                            if self.begins(word + true):
+                                todo.append((i + size, word + true, n + 1))
+
+    def literal(self, token: str) -> float:
+        """Cost of a token as it stands."""
+        cost = math.log(self.total / max(self.least, self.count(token)))
+        if any(not c.isalpha() and c not in "-'" for c in token):
+            return cost + math.log(FIGURES)
+        return cost - (math.log(SHORT) if len(token) < 5 else 0.0)
+
+    def cost(self, word: str, confusions: int = 0) -> float:
+        return math.log(self.total / max(self.least, self.count(word))) + (0.0, math.log(ONE), math.log(TWO))[confusions]
+
     def reading(self, token: str) -> tuple[str, int] | None:
         """The word a token was misread from and the confusions undone, or None if it stands."""
         if token in self._read:
             return self._read[token]
-        if len(token) > LONGEST:
-            return None
+        best, least = None, self.literal(token) + 1e-9
+        if self.literal(token) + 1e-9 >= math.log(self.total / max(1, self.top)) + math.log(ONE):  # else nothing is likelier
+            # Long words bear two confusions; in short ones everything resembles something.
+            for end, word, n in self.edges(token, 0, 2 if len(token) >= 6 else 1):
+                if end == len(token) and n and self.cost(word, n) <= least:
+                    best, least = (word, n), self.cost(word, n)
         if len(self._read) > 200_000:
             self._read.clear()
-        own = max(1, self.count(token))
-        figures = any(not c.isalpha() and c not in "-'" for c in token)
-        best, best_score = None, 0.0
-        # Long words bear two confusions; in short ones everything resembles something.
-        for word, n in variants(token, 2 if len(token) >= 6 else 1):
-            c = self.count(word)
-            need = 3 if figures else LIKELIER * own * (1 if len(token) >= 5 else 5) * (4 if n == 2 else 1)
-            if c >= need and c / 8**n > best_score:
-                best, best_score = (word, n), c / 8**n
         self._read[token] = best
         return best
 
+    def division(self, token: str) -> tuple[float, list[str]] | None:
+        """(cost, words) of the cheapest division of a run of letters at missing blanks."""
+        best: list[tuple[float, list[str]] | None] = [(0.0, [])] + [None] * len(token)
+        for i in range(len(token)):
+            if best[i] is not None:
+                for end, word, n in self.edges(token, i, 0):
+                    cost = best[i][0] + self.cost(word) + (DIVIDED if i else 0.0)
+                    if end - i >= 2 and end - i < len(token) and (best[end] is None or cost < best[end][0]):
+                        best[end] = (cost, [*best[i][1], word])
+        return best[-1]
+
     def keep(self, word: str) -> None:
         """Remember a word that stands, so that it is judged once."""
         if len(self.sound) > 200_000:
@@ -111,18 +141,13 @@ class Lexicon:
 
     def cut_off(self, word: str) -> bool:
         """Whether a word may be the start of a longer one in which it breaks off."""
-        if self._starts is None:
-            self._starts = sorted(self.counts)
-        i = bisect_right(self._starts, word)
-        while i < len(self._starts) and self._starts[i].startswith(word):
-            if self.counts[self._starts[i]] >= LIKELIER * self.count(word):
+        i = bisect_right(self.words, word)
+        while i < len(self.words) and self.words[i].startswith(word):
+            if self.counts[self.words[i]] >= LIKELIER * self.count(word):
                 return True
             i += 1
         return False
 
-    def cost(self, word: str) -> float:
-        return math.log(self.total / (self.count(word) or 1e-3))
-
 
 def furniture(lines: list[str]) -> tuple[set[int], dict[int, str]]:
     """Numbers of lines that are page numbers, and the lines that may be running headers."""
@@ -152,16 +177,20 @@ _ROMAN = {"".join(p) for p in (("x" * t) + u for t in range(4) for u in ("", "i"
 
 def header_matches(line: str, names: list[str | None]) -> bool:
     """Whether a line is made of the names a page is headed by, a page number and misreadings aside."""
-    plain = lambda t: re.findall(r"[^\W\d_]{2,}|\d[^\W\d_]+\w*|[^\W\d_]+\d\w*", t.lower())
+    plain = lambda t: [w for w in re.findall(r"[\w'’(!|]+", t.lower()) if re.search(r"[^\W\d_]", w) and len(w) > 1]
     words = plain(line)
-    known = {w for n in names if n for w in plain(n)} | {"page", "of", "p"} | {n.lower().strip() for n in names if n}
+    known = {w for n in names if n for w in plain(n)} | {"page", "of"} | {n.lower().strip() for n in names if n}
     known |= {w[:-1] for w in known if w.endswith("s")}
-    hit = sum(w in known or any(abs(len(w) - len(k)) <= 1 and _near(w, k) for k in known) for w in words)
+    lexicon = Lexicon(dict.fromkeys(known, 1))
+    hit = sum(w in known or _near(w, lexicon) for w in words)
     return bool(words) and hit >= 0.7 * len(words)
 
 
-def _near(a: str, b: str) -> bool:
-    return len(b) > 4 and sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= 2 or any(v == b for v, _ in variants(a, 1))
+def _near(a: str, names: Lexicon) -> bool:
+    """Whether a word differs from a name by two letters or by up to three confusions."""
+    if any(end == len(a) for end, _, _ in names.edges(a, 0, 3)):
+        return True
+    return any(len(b) > 4 and sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= 2 for b in names.words)
 
 
 def _core(token: str) -> str:
@@ -185,135 +214,135 @@ def divided(head: str, mark: str, tail: str, lexicon: Lexicon) -> str | None:
         return read[0]
     if n:
         return whole
-    if mark in _TIGHT and (joined or lexicon.reading(compound) or (lexicon.count(head.lower()) and lexicon.count(tail.lower()) >= 5)):
+    if mark in _TIGHT and (joined or lexicon.reading(compound) or (lexicon.count(head.lower()) and lexicon.count(tail.lower()) >= 5 * lexicon.least)):
         return None
     return whole
 
 
-def inspect(text: str, lexicon: Lexicon) -> tuple[bool, bool, bool, list[str]]:
-    """(hyphenation, misread, page number, lines that may be running headers) of one section."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    numbers, headers = furniture(lines) if len(lines) > 2 else (set(), {})
-    body = [line for i, line in enumerate(lines) if i not in numbers and i not in headers and line.strip()] if len(lines) > 1 else lines
-    hyphen = misread = False
-    carried = ""
-    for i, line in enumerate(body):
-        tokens = line.split()
-        if not tokens:
-            continue
-        if carried:
-            head, mark = carried[:-1], carried[-1]
-            tail = re.match(r"[^\s]*", tokens[0]).group()
-            letters = _core(tail)
-            if tail[:1].islower() or not tail[:1].isalpha():
-                whole = divided(_core(head), mark, letters, lexicon)
-                if whole is not None:
-                    hyphen = True
-                    own = (_core(head) + letters).lower()
-                    misread |= whole != own or _misread(own, lexicon, "")
-                else:
-                    misread |= any(_misread(p, lexicon, "") for p in (_core(head), letters) if p)
-                tokens = tokens[1:]
-            carried = ""
-        if tokens and i + 1 < len(body) and len(tokens[-1]) > 1 and tokens[-1][-1] in _MARKS and tokens[-1][-2].isalpha():
-            carried, tokens = tokens[-1], tokens[:-1]
-        if not misread:
-            for k, t in enumerate(tokens):
-                core = _core(t)
-                if not core or core in lexicon.sound and t[0] != "(":
-                    continue
-                if not (_suspect(core) and _misread(core, lexicon, t)):
-                    if t[0] != "(":
-                        lexicon.keep(core)
-                else:
-                    following = tokens[k + 1] if k + 1 < len(tokens) else next((x.split()[0] for x in body[i + 1 :] if x.strip()), "")
-                    if not _breaks_off(t, following, core, lexicon):
-                        misread = True
-                        break
-    return hyphen, misread, bool(numbers), list(headers.values())
-
-
 def _breaks_off(token: str, following: str, core: str, lexicon: Lexicon) -> bool:
     """Whether a known word ends a sentence and is rather the start of a longer one cut short than misread."""
     ends = token[-1] in ".!?" or not following or following.lstrip("(\"'[“‘")[:1].isupper()
     return ends and lexicon.count(core) > 0 and lexicon.cut_off(core)
 
 
-def _misread(core: str, lexicon: Lexicon, raw: str) -> bool:
+def _reading(core: str, lexicon: Lexicon, raw: str) -> str | None:
+    """What a token was misread from, its parts, an ending 's and an opening bracket for a letter included."""
     n = lexicon.count(core)
-    if "-" in core and not n:
-        parts = [p for p in core.split("-") if p]
-        if any(_suspect(p) and lexicon.reading(p) is not None for p in parts):
-            return True
-        return not all(lexicon.count(p) for p in parts) and lexicon.reading(core) is not None
-    if lexicon.reading(core) is not None:
-        return True
-    if core.endswith("'s") or core.endswith("’s"):
-        return lexicon.reading(core[:-2]) is not None
+    if "-" in core:
+        parts = core.split("-")
+        read = [lexicon.reading(p) if p and _suspect(p) else None for p in parts]
+        if any(read):
+            return "-".join(r[0] if r else p for r, p in zip(read, parts))
+        whole = lexicon.reading(core) if not all(lexicon.count(p) for p in parts if p) else None
+        return whole[0] if whole else None
+    read = lexicon.reading(core)
+    if read:
+        return read[0]
+    if core.endswith(("'s", "’s")):
+        read = lexicon.reading(core[:-2])
+        return read[0] + core[-2:] if read else None
     if raw.startswith("(") and raw[1:2].isalpha() and ")" not in raw:
         read = lexicon.reading("(" + core)
-        return read is not None and lexicon.count(read[0]) >= LIKELIER * n
-    return False
+        return read[0] if read and lexicon.count(read[0]) >= LIKELIER * n else None
+    return None
 
 
-# ---- repair -------------------------------------------------------------------------------------
+HYPHEN, MISREAD = 1, 2
 
 
-def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> list[str]:
-    """Most likely words of a stream of (piece, what follows it): a blank, a line end or a hyphenated one.
+def pieces_of(lines: list[str]) -> list[tuple[str, str]]:
+    """The stream of a paragraph's lines: (piece, what follows it: a blank, a line end or a hyphen at one)."""
+    out: list[tuple[str, str]] = []
+    rows = [tokens for tokens in (line.split() for line in lines) if tokens]
+    for j, tokens in enumerate(rows):
+        out += [(t, " ") for t in tokens[:-1]]
+        t = tokens[-1]
+        if j + 1 < len(rows) and len(t) > 1 and t[-1] in _MARKS and t[-2].isalpha():
+            tail = rows[j + 1][0]
+            goes_on = not tail[0].isalpha() or tail[0].islower() or (t[:-1].isupper() and len(t) > 2 and _core(tail).upper() == tail.strip(".,;:)]"))
+            out.append((t[:-1], t[-1]) if goes_on else (t, "\n"))
+        else:
+            out.append((t, "\n"))
+    return out
 
-    Viterbi over the pieces: one piece as read or through confusions, two joined into one word, one
-    split into two."""
-    n = len(pieces)
-    best: list[tuple[float, int, list[str]]] = [(0.0, 0, [])] + [(math.inf, 0, [])] * n
-    for i in range(n):
-        here = best[i][0]
-        if here == math.inf:
-            continue
-        piece, after = pieces[i]
-        core = _core(piece)
-        for cost, words in _alone(piece, core, lexicon, pieces[i + 1][0] if i + 1 < n else ""):
-            if here + cost < best[i + 1][0]:
-                best[i + 1] = (here + cost, i, words)
-        if i + 1 < n and after != " " and core:
-            following = pieces[i + 1][0]
-            if after == "\n":
-                whole = _core(piece + following)
-                if lexicon.count(whole) and not (lexicon.count(core) and lexicon.count(_core(following))):
-                    cost = lexicon.cost(whole) + 3
-                    if here + cost < best[min(n, i + 2)][0]:
-                        best[i + 2] = (here + cost, i, [piece + following])
-            else:
-                whole = divided(core, after, _core(following), lexicon)
-                text = piece + following if whole is not None else f"{piece}-{following}"
-                if whole is not None and whole != _core(text):
-                    text = _recased(text, whole)
-                cost = lexicon.cost(whole or f"{core}-{_core(following)}") * 0.5
-                if here + cost < best[i + 2][0]:
-                    best[i + 2] = (here + cost, i, [text])
-    out: list[list[str]] = []
-    i = n
-    while i:
-        _, before, words = best[i]
-        out.append(words)
-        i = before
-    return [w for words in reversed(out) for w in words]
 
+def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> tuple[list[str], int]:
+    """(words, noise found) on the cheapest path through the lattice of a stream.
 
-def _alone(piece: str, core: str, lexicon: Lexicon, following: str) -> Iterator[tuple[float, list[str]]]:
-    known = lexicon.count(core)
-    read = lexicon.reading(core) if core and _suspect(core) else None
-    if read and not _breaks_off(piece, following, core, lexicon):
-        yield lexicon.cost(read[0]) + 2.0 * read[1] - (0 if not known else -1), [_recased(piece, read[0])]
+    Edges: one piece as it stands, read through confusions or divided at a missing blank; two pieces as
+    one word over a blank, a line end or a hyphen. A piece that stands and joins nothing is a node all
+    paths meet in, so costs are compared between such nodes only."""
+    n = len(pieces)
+    cores = [_core(p) for p, _ in pieces]
+    stands = [c in lexicon.sound and p[0] != "(" for c, (p, _) in zip(cores, pieces)]
+    words: list[str] = []
+    noise = 0
+    i = 0
+    while i < n:
+        piece, after = pieces[i]
+        if stands[i] and after in " \n" and (i + 1 == n or cores[i + 1] in lexicon.counts or not cores[i + 1].isalpha()):
+            words.append(piece)
+            i += 1
+            continue
+        # The stretch up to the next node that all paths meet in.
+        best: dict[int, tuple[float, int, list[str], int]] = {i: (0.0, i, [], 0)}
+        at = i
+        while True:
+            here = best[at][0]
+            for end, cost, out, found in _edges_of(pieces, at, lexicon):
+                if end not in best or here + cost < best[end][0]:
+                    best[end] = (here + cost, at, out, found)
+            at = min(k for k in best if k > at)
+            if at == n or max(best) == at:
+                break
+        steps = []
+        while at != i:
+            _, before, out, found = best[at]
+            steps.append((out, found))
+            at = before
+        i = max(best)
+        for out, found in reversed(steps):
+            words += out
+            noise |= found
+    return words, noise
+
+
+def _edges_of(pieces: list[tuple[str, str]], i: int, lexicon: Lexicon) -> Iterator[tuple[int, float, list[str], int]]:
+    """(end, cost, words, noise undone) of the edges of the lattice that begin at a piece."""
+    piece, after = pieces[i]
+    core = _core(piece)
+    following = pieces[i + 1][0] if i + 1 < len(pieces) else ""
+    tail = _core(following)
+    if following and after not in " \n":
+        whole = divided(core, after, tail, lexicon)
+        if whole is None:
+            parts = [_reading(p, lexicon, "") if p and _suspect(p) else None for p in (core, tail)]
+            text = f"{_recased(piece, parts[0]) if parts[0] else piece}-{_recased(following, parts[1]) if parts[1] else following}"
+            yield i + 2, 0.0, [text], MISREAD if any(parts) else 0
+        else:
+            read = _reading((core + tail).lower(), lexicon, "") or whole
+            text = piece + following
+            wrong = read != (core + tail).lower()
+            yield i + 2, 0.0, [_recased(text, read) if wrong else text], HYPHEN | (MISREAD if wrong else 0)
         return
-    yield (lexicon.cost(core) if core else 0.0), [piece]
-    if not core or read or not _suspect(core):
+    if not core or not _suspect(core):
+        yield i + 1, 0.0, [piece], 0
         return
-    if not known and piece.isalpha() and len(core) >= 6:
-        for k in range(2, len(core) - 1):
-            a, b = core[:k], core[k:]
-            if lexicon.count(a) and lexicon.count(b):
-                yield lexicon.cost(a) + lexicon.cost(b) + 6, [piece[:k], piece[k:]]
+    read = _reading(core, lexicon, piece)
+    if read and not _breaks_off(piece, following, core, lexicon):
+        yield i + 1, lexicon.literal(core) - 1e-6, [_recased(piece, read)], MISREAD
+    else:
+        if not read and lexicon.count(core) and piece[0] != "(":
+            lexicon.keep(core)
+        yield i + 1, lexicon.literal(core), [piece], 0
+        if not read and not lexicon.count(core) and piece.isalpha() and piece.islower() and len(core) >= 6:
+            parts = lexicon.division(core)
+            if parts:
+                yield i + 1, parts[0], parts[1], 0
+    if tail and piece.isalpha() and (following[0].islower() or piece.isupper()) and not (lexicon.count(core) and lexicon.count(tail)):
+        whole = core + tail
+        if _suspect(tail) and lexicon.count(whole):
+            yield i + 2, lexicon.cost(whole) + BLANK, [piece + following], 0
 
 
 def _recased(piece: str, word: str) -> str:
@@ -325,43 +354,99 @@ def _recased(piece: str, word: str) -> str:
     return piece[:at] + fresh + piece[at + len(core) :]
 
 
+State = tuple[str, bool, int]
+NARROW, OVERFULL = 1.0, 6.0  # costs of a paragraph set narrower than the page, and of a line too long for it
+
+
 def paragraphs(lines: list[str]) -> list[list[str]]:
-    """Lines grouped into paragraphs: least total cost of breaking or joining at each line end."""
-    filled = [len(line) for line in lines if line.strip()]
-    width = max(filled) if filled else 0
-    # Two states per line: it opens a paragraph or goes on with one.
-    opened, going = 0.0, math.inf
-    back: list[tuple[int, int]] = []
-    for a, b in zip(lines, lines[1:]):
-        if not a.strip() or not b.strip():
-            cut, join = 0.0, 8.0
-        else:
-            ended = a.rstrip()[-1] in ".;:?!\"”"
-            short = len(a) + 1 + len(b.split()[0]) <= width
-            fresh = bool(_LABEL.match(b)) or b[:1].isupper()
-            cut = (0.0 if ended else 4.0) + (0.0 if short else 2.0) + (0.0 if fresh else 4.0)
-            join = (3.0 if ended and short else 0.5) + (4.0 if _LABEL.match(b) and ended else 0.0) + (1.5 if short and not ended and _SHORT_LABEL.fullmatch(a) else 0.0)
-        low = min(opened, going)
-        state = 0 if opened <= going else 1
-        opened, going = low + cut, low + join
-        back.append((state, state))
-    states = [0 if opened <= going else 1]
-    for to_open, to_going in reversed(back):
-        states.append(to_open if states[-1] == 0 else to_going)
-    states.reverse()
-    if states:
-        states[0] = 0
+    """Lines grouped into paragraphs: the cheapest breaking and joining of all line ends.
+
+    The state before a line end is the kind of the paragraph it would close (a labelled item or running
+    text), whether that has one line or more, and how wide it is set: as the page or, at a cost paid
+    where it opens, as the median line. A line that goes on is expected to be full for its paragraph's
+    width, so what pays at one line end may only show at a later one."""
+    filled = sorted(len(line) for line in lines if line.strip())
+    widths = sorted({filled[-1], filled[len(filled) // 2]}, reverse=True) if filled else [0]
+    kinds = ["item" if _LABEL.match(line) else "text" for line in lines]
+    costs = {state: cost for state, cost in _opened(lines[0], kinds[0], widths)} if lines else {}
+    back: list[dict[State, tuple[State, bool]]] = []
+    for k, (a, b) in enumerate(zip(lines, lines[1:])):
+        fresh: dict[State, float] = {}
+        came: dict[State, tuple[State, bool]] = {}
+        opening = _opened(b, kinds[k + 1], widths)
+        for state, cost in costs.items():
+            cut, join = _end_costs(a, b, state)
+            steps = [(after, cut + more, True) for after, more in opening]
+            steps.append(((state[0], True, state[2]), join + (OVERFULL if len(b) > state[2] else 0.0), False))
+            for after, step, opens in steps:
+                if after not in fresh or cost + step < fresh[after]:
+                    fresh[after], came[after] = cost + step, (state, opens)
+        costs = fresh
+        back.append(came)
+    state = min(costs, key=costs.get) if costs else None
+    opens = [True] * len(lines)
+    for k in range(len(lines) - 1, 0, -1):
+        state, opens[k] = back[k - 1][state]
     out: list[list[str]] = []
-    for line, s in zip(lines, states):
-        if s == 0 or not out:
+    for line, first in zip(lines, opens):
+        if first:
             out.append([])
         out[-1].append(line)
     return [p for p in ([x for x in q if x.strip()] for q in out) if p]
 
 
+def _opened(line: str, kind: str, widths: list[int]) -> list[tuple[State, float]]:
+    """The states of a paragraph that a line opens, and their costs."""
+    return [((kind, False, w), (NARROW if i else 0.0) + (OVERFULL if len(line) > w else 0.0)) for i, w in enumerate(widths)]
+
+
+def _end_costs(a: str, b: str, state: State) -> tuple[float, float]:
+    """(cost of breaking, cost of joining) at the line end between ``a`` and ``b``."""
+    kind, several, width = state
+    if not a.strip() or not b.strip():
+        return 0.0, 8.0
+    ended = a.rstrip()[-1] in ".;:?!\"”"
+    short = len(a) + 1 + len(b.split()[0]) <= width
+    label = bool(_LABEL.match(b))
+    cut = (0.0 if ended else 4.0) + (0.0 if short else 2.0) + (0.0 if label or b[:1].isupper() else 4.0)
+    join = (3.0 if ended and short else 0.5) + (4.0 if label and ended else 0.0)
+    if kind == "item" and not label and not ended:
+        join = 0.0  # an item goes on in ragged lines
+    if kind == "item" and label:
+        cut = max(0.0, cut - 2.0)  # and is followed by the next one
+    if not several and not ended:
+        cut += 0.0 if short else 1.5  # one full line that has not ended is no paragraph
+        join += 1.5 if _SHORT_LABEL.fullmatch(a) else 0.0  # a heading or a table line of its own
+    return cut, join
+
+
+def _plain_lines(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+
+
+Line = tuple[str, bool, bool]
+
+
+def inspect(text: str, lexicon: Lexicon) -> tuple[bool, bool, bool, list[Line]]:
+    """(hyphenation, misread, page number, possible headers) of one section, as the decoder finds them.
+
+    A line that may be a running header is kept out of the stream. Whether it is one, the names of its
+    document say later; for the other case it comes with the noise that it has between its neighbours."""
+    lines = _plain_lines(text)
+    numbers, headers = furniture(lines) if len(lines) > 2 else (set(), {})
+    body = [(i, line) for i, line in enumerate(lines) if i not in numbers and line.strip()]
+    _, noise = decode(pieces_of([line for i, line in body if i not in headers]), lexicon)
+    asked: list[Line] = []
+    for k, (i, line) in enumerate(body):
+        if i in headers:
+            _, own = decode(pieces_of([x for _, x in body[max(0, k - 1) : k + 2]]), lexicon)
+            asked.append((headers[i], bool(own & HYPHEN), bool(own & MISREAD)))
+    return bool(noise & HYPHEN), bool(noise & MISREAD), bool(numbers), asked
+
+
 def repair(text: str, names: list[str | None], lexicon: Lexicon) -> tuple[str, int]:
     """(continuous text, paragraphs divided by a blank line; number of paragraphs)."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    lines = _plain_lines(text)
     numbers, headers = furniture(lines) if len(lines) > 2 else (set(), {})
     gone = numbers | {i for i, h in headers.items() if header_matches(h, names)}
     kept: list[str] = []
@@ -373,18 +458,7 @@ def repair(text: str, names: list[str | None], lexicon: Lexicon) -> tuple[str, i
         if not line.strip() and i and i - 1 in gone:
             continue
         kept.append(line)
-    out = []
-    for group in paragraphs(kept):
-        pieces: list[tuple[str, str]] = []
-        for j, line in enumerate(group):
-            tokens = line.split()
-            for k, t in enumerate(tokens):
-                end = k == len(tokens) - 1 and j + 1 < len(group)
-                if end and len(t) > 1 and t[-1] in _MARKS and t[-2].isalpha() and group[j + 1].lstrip()[:1].islower():
-                    pieces.append((t[:-1], t[-1]))
-                else:
-                    pieces.append((t, "\n" if end else " "))
-        out.append(" ".join(decode(pieces, lexicon)))
+    out = [" ".join(decode(pieces_of(group), lexicon)[0]) for group in paragraphs(kept)]
     return "\n\n".join(out), len(out)
 
 
@@ -392,7 +466,10 @@ def repair(text: str, names: list[str | None], lexicon: Lexicon) -> tuple[str, i
 
 
 def lexicon_of(sections: DataFrame, text: str = "text") -> Lexicon:
-    """Words by the number of sections that hold them, over all sections; see LEXICON_SHARE."""
+    """Words by the number of sections that hold them, over all rows; see LEXICON_SHARE.
+
+    Counted where the texts are read and aggregated in Spark; only the words above the share, whose
+    number is bounded, pass through the driver on their way to the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
@@ -407,45 +484,52 @@ def lexicon_of(sections: DataFrame, text: str = "text") -> Lexicon:
 
     rows = sections.where(F.col(text).isNotNull()).select(text)
     counts = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    floor = max(2, math.ceil(rows.count() * LEXICON_SHARE))
-    return Lexicon({r["word"]: r["n"] for r in counts.where(F.col("n") >= floor).toLocalIterator()})
+    known = rows.count()
+    return Lexicon({r["word"]: r["n"] for r in counts.where(F.col("n") >= known * LEXICON_SHARE).toLocalIterator()}, known)
 
 
 def scan_noise(sections: DataFrame, manifest: DataFrame) -> DataFrame:
     """(section_uid, noise) of the live sections: hyphenation, misread, page_furniture.
 
     ``sections``: section_uid, doc_id, text, made_at; ``manifest``: doc_id, issuer, title, doc_type,
-    fetched_at. Texts are read twice where they lie, once for the lexicon and once for their noise;
-    only flags and lines that may be headers are shuffled. Null keys and null texts give no row; a
-    section without a manifest row has its page numbers found, and of headers none."""
+    fetched_at. Texts are read twice where they lie, once for the lexicon and once to be decoded;
+    only flags and lines that may be headers are shuffled. A line that is no header of its document is
+    text like any other. Null keys and null texts give no row; a section without a manifest row has its
+    page numbers found, and of headers none."""
     rows = sections.where("section_uid IS NOT NULL").select("section_uid", "doc_id", "made_at", "text")
-    spread = rows.sparkSession.sparkContext.broadcast(lexicon_of(rows).counts)
+    words = lexicon_of(rows)
+    spread = rows.sparkSession.sparkContext.broadcast((words.counts, words.least / LEXICON_SHARE))
+    asked = pa.list_(pa.struct([("line", pa.string()), ("hyphen", pa.bool_()), ("misread", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(spread.value)
+        lexicon = Lexicon(*spread.value)
         for batch in batches:
             found = [inspect(t, lexicon) if t else (False, False, False, []) for t in batch.column(3).to_pylist()]
             h, m, n, lines = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.bool_()), pa.array(m, pa.bool_()), pa.array(n, pa.bool_()), pa.array(lines, pa.list_(pa.string()))], names=["section_uid", "doc_id", "made_at", "hyphen", "misread", "number", "lines"])
+            lines = pa.array([[dict(zip(("line", "hyphen", "misread"), x)) for x in ls] for ls in lines], asked)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h, pa.bool_()), pa.array(m, pa.bool_()), pa.array(n, pa.bool_()), lines], names=["section_uid", "doc_id", "made_at", "hyphen", "misread", "number", "lines"])
 
     at = rows.schema["made_at"].dataType.simpleString()
-    seen = rows.mapInArrow(run, f"section_uid string, doc_id string, made_at {at}, hyphen boolean, misread boolean, number boolean, lines array<string>")
+    seen = rows.mapInArrow(run, f"section_uid string, doc_id string, made_at {at}, hyphen boolean, misread boolean, number boolean, lines array<struct<line:string,hyphen:boolean,misread:boolean>>")
     live = live_rows(seen, ["section_uid"], "made_at", ["doc_id", "hyphen", "misread", "number", "lines"])
     flat = stage(live, "scans-flags")
     named = live_rows(manifest, ["doc_id"], "fetched_at", ["issuer", "title", "doc_type"])
 
-    @F.pandas_udf("boolean")
-    def headed(lines, issuer, title, kind):
+    @F.pandas_udf("page_furniture boolean, hyphenation boolean, misread boolean")
+    def judged(lines, issuer, title, kind):
         import pandas as pd
 
-        return pd.Series([any(header_matches(x, [a, b, c]) for x in ls) for ls, a, b, c in zip(lines, issuer, title, kind)], dtype=bool)
+        out = []
+        for ls, *names in zip(lines, issuer, title, kind):
+            heads = [header_matches(x["line"], names) for x in ls]
+            out.append((any(heads), any(x["hyphen"] for x, h in zip(ls, heads) if not h), any(x["misread"] for x, h in zip(ls, heads) if not h)))
+        return pd.DataFrame(out, columns=["page_furniture", "hyphenation", "misread"], dtype=bool)
 
-    headers = flat.where("NOT number AND size(lines) > 0").join(named, "doc_id").where(headed("lines", "issuer", "title", "doc_type"))
     kinds = [("hyphenation", "hyphen"), ("misread", "misread"), ("page_furniture", "number")]
-    out = headers.select("section_uid", F.lit("page_furniture").alias("noise"))
-    for name, flag in kinds:
-        out = out.unionByName(flat.where(flag).select("section_uid", F.lit(name).alias("noise")))
-    return out
+    lined = flat.where("size(lines) > 0").join(named, "doc_id", "left").withColumn("asked", judged("lines", "issuer", "title", "doc_type"))
+    noise = F.array_compact(F.array(*[F.when(F.col(f"asked.{name}") & ~F.col(flag), F.lit(name)) for name, flag in kinds]))
+    own = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in kinds]))
+    return flat.select("section_uid", F.explode(own).alias("noise")).unionByName(lined.select("section_uid", F.explode(noise).alias("noise")))
 
 
 def repaired_sections(sections: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -455,10 +539,11 @@ def repaired_sections(sections: DataFrame, manifest: DataFrame) -> DataFrame:
     stay null with 0 paragraphs."""
     live = live_rows(sections, ["section_uid"], "made_at", ["doc_id", "text"])
     named = live_rows(manifest, ["doc_id"], "fetched_at", ["issuer", "title", "doc_type"])
-    spread = sections.sparkSession.sparkContext.broadcast(lexicon_of(sections).counts)
+    words = lexicon_of(sections)
+    spread = sections.sparkSession.sparkContext.broadcast((words.counts, words.least / LEXICON_SHARE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(spread.value)
+        lexicon = Lexicon(*spread.value)
         for batch in batches:
             done = [(None, 0) if t is None else repair(t, list(names), lexicon) for t, *names in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=["section_uid", "text", "paragraphs"])

@@ -250,3 +250,80 @@ def test_scores_on_a_table(spark):
     rates = {r["source"]: (r["documents"], r["unsafe"]) for r in abuse.source_rates(df).collect()}
     assert rates == {"faq": (4, 3), "x": (1, 0), None: (1, 0)}
     assert abuse.unsafe_documents(df.limit(0)).count() == 0
+
+
+# ---- the lattice and the paragraphs of scanned pages ---------------------------------------------
+
+
+@pytest.mark.parametrize("seen", [1, 2, 20, 2000])
+def test_a_misreading_is_found_however_often_it_recurs(seen):
+    lex = scans.Lexicon({"within": 200_000, "wifhin": seen, "weeks": 100_000, "three": 90_000}, 1_000_000)
+    assert scans.inspect("three weeks wifhin three weeks", lex)[:3] == (False, True, False)
+    assert not scans.inspect("three weeks within three weeks", lex)[1]
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_decisions_do_not_depend_on_the_size_of_the_corpus(scale):
+    lex = scans.Lexicon({w: n * scale for w, n in {"within": 4000, "wifhin": 30, "board": 4000, "boord": 900, "cross": 40, "border": 50}.items()}, 98_000 * scale)
+    assert scans.inspect("wifhin", lex)[1] and not scans.inspect("boord", lex)[1]
+    assert scans.inspect("cross-\nborder", lex)[0] is False
+
+
+def test_the_lattice_splits_joins_and_reads():
+    lex = scans.Lexicon({w: 5000 for w in "the institution of records shall keep insurance clear inner".split()}, 10_000)
+    read = lambda t: scans.repair(t, [], lex)[0]
+    assert read("the insti tution shall keep records") == "the institution shall keep records"
+    assert read("the insti\ntution shall keep records") == "the institution shall keep records"
+    assert read("the insti-\ntution shall keep rec0rds") == "the institution shall keep records"
+    assert read("the institution shallkeep records") == "the institution shall keep records"
+    assert read("THE INSTI-\nTUTION SHALL KEEP REC0RDS") == "THE INSTITUTION SHALL KEEP RECORDS"
+    assert read("the Elmargate shall keep records") == "the Elmargate shall keep records"
+    assert scans.inspect("THE INSTI-\nTUTION SHALL", lex)[0]
+    # A long run is read like any other.
+    long = "x" * 60
+    assert scans.Lexicon({long: 900}, 1000).reading(long[:-1] + "z") == (long, 1)
+
+
+def test_lines_that_only_may_be_headers_are_text_if_no_name_matches(spark):
+    clean = "The bank shall keep records of each review within three weeks"
+    rows = [(f"s{i}", "d", T0, clean) for i in range(60)] + [("body", "d", T0, "the bank shall keep\nThe Bank Rec0rds\nof each review"), ("head", "d", T0, "the bank shall keep\nHarb0ur Monetary Boarcl\nof each review")]
+    df = spark.createDataFrame(rows, "section_uid string, doc_id string, made_at timestamp_ntz, text string")
+    man = spark.createDataFrame([("d", "Harbour Monetary Board", "Prepaid Guidelines 255", "guidelines", T0)], "doc_id string, issuer string, title string, doc_type string, fetched_at timestamp_ntz")
+    assert sorted(map(tuple, scans.scan_noise(df, man).collect())) == [("body", "misread"), ("head", "page_furniture")]
+
+
+def paragraph_cost(lines, choice):
+    """Cost of the line ends decided so far: ``choice`` has, for each line, the width of the paragraph it opens or None."""
+    filled = sorted(map(len, lines))
+    widths = sorted({filled[-1], filled[len(filled) // 2]}, reverse=True)
+    state, total = None, 0.0
+    for k, c in enumerate(choice):
+        cut, join = scans._end_costs(lines[k - 1], lines[k], state) if k else (0.0, 0.0)
+        if c is None:
+            total, state = total + join + (scans.OVERFULL if len(lines[k]) > state[2] else 0.0), (state[0], True, state[2])
+        else:
+            after = dict(scans._opened(lines[k], "item" if scans._LABEL.match(lines[k]) else "text", widths))
+            state = next(s for s in after if s[2] == c)
+            total += cut + after[state]
+    return total
+
+
+def test_paragraphs_are_a_programme_and_no_greedy_choice():
+    import itertools
+
+    random.seed(8)
+    words = "the bank shall keep Records of each (a) review; within three weeks. and Report".split()
+    differ = 0
+    for _ in range(150):
+        lines = [" ".join(random.choices(words, k=random.randint(1, 6))) for _ in range(random.randint(2, 6))]
+        filled = sorted(map(len, lines))
+        widths = sorted({filled[-1], filled[len(filled) // 2]}, reverse=True)
+        every = [c for c in itertools.product([None, *widths], repeat=len(lines)) if c[0] is not None]
+        best = min(paragraph_cost(lines, c) for c in every)
+        firsts = [i for g in scans.paragraphs(lines) for i in [True] + [False] * (len(g) - 1)]
+        assert min(paragraph_cost(lines, c) for c in every if [x is not None for x in c] == firsts) == pytest.approx(best)
+        greedy = ()
+        for k in range(len(lines)):
+            greedy = min(((*greedy, c) for c in [None, *widths] if k or c is not None), key=lambda g: paragraph_cost(lines, g))
+        differ += paragraph_cost(lines, greedy) > best + 1e-9
+    assert differ > 0
