@@ -76,7 +76,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_share(*spans.shared_spans(_records(spark, sf_dir))).withColumnRenamed("key", "record")
+    """How much of each record stands elsewhere: (record, chars, shared_chars, share)."""
+    return spans.shared_share(_records(spark, sf_dir)).withColumnRenamed("key", "record")
 
 
 def p4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ position is a cut-point where its hash is the least among the positions within 8
 position is one depends on its surroundings only, so an insertion moves no cut-point outside them.
 From every cut-point a variable chunk runs to the last cut-point within 64 characters; equal
 digests of chunks bring records together, and the spans around them are measured on the texts.
+
+Which chunks are shared is told by the least and the greatest text of each digest, so no group of a
+digest is ever held by one task. A chunk that few texts share pairs them. Where many do, such as for
+a stock phrase, the windows of the wanted length around it take the chunk's place: texts are paired
+by a window only where they differ just before it, and shares need no pairs at all.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.plans.stage import stage
+from lexmill.plans.stage import broadcast_if_small, stage
 from lexmill.sources.tables import live_rows
 
 GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
-HOT, STEP = 512, 8  # texts above which a chunk is paired by wider windows; how far apart these lie
+HOT = 512  # texts above which those of a chunk are paired by windows of the whole length instead
+SHARE_HOT = 32  # the same for shares, where windows need no pairs
+DIGESTS = 2_000_000  # shared digests, of 8 bytes, that are broadcast; more are joined by a shuffle
 _U = np.uint32
 
 
@@ -126,18 +133,8 @@ def _names(texts: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array(halves[::2]), pa.array(halves[1::2])
 
 
-def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(members, spans) of the live rows of ``records`` with columns key, grp, at and text.
-
-    ``members``: key, grp, t1, t2, chars - each live record and the digest of its squeezed text, so
-    that copies are one text. ``spans``: a1, a2, b1, b2, a_from, b_from, chars - for two different
-    texts every maximal common span of at least ``least`` characters that a shared chunk lies in,
-    a's digest the smaller. Null keys and null texts are left out; shorter texts are members only.
-
-    A digest may be common to any number of texts; above HOT of them, texts are paired by windows of
-    nearly the whole length instead. Of the chunks two texts share in a row only the first asks for a
-    measurement, so a pair costs one row per span and not one per chunk. Texts are
-    cut where they are read; only those that a shared chunk involves are compared, after one shuffle."""
+def _shared_chunks(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, chunks, texts): live records, the chunks that several live texts have, and all long texts."""
     rows = records.where("key IS NOT NULL AND text IS NOT NULL").select("key", "grp", "at", "text")
     at = rows.schema["at"].dataType.simpleString()
 
@@ -166,28 +163,33 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
 
     named = rows.mapInArrow(name, f"key string, grp string, at {at}, t1 long, t2 long, chars int")
     members = stage(live_rows(named, ["key"], "at", ["grp", "t1", "t2", "chars"]), "spans-members")
-    # Superseded texts are cut too, and fall out where texts are joined with live members.
+    # Superseded texts are cut too, and fall out where shared chunks meet the live texts.
     chunks = rows.select("text").where(F.length("text") >= least).mapInArrow(cut, "digest long, t1 long, place long")
-    same = Window.partitionBy("digest")
-    # Chunks of one text only are told apart from shared ones by the ends of the group.
-    shared = chunks.select("*", F.min("t1").over(same).alias("low"), F.max("t1").over(same).alias("high")).where("low < high")
+    # Half of a text's digest tells two texts apart; the halves are aggregated where they are cut.
+    half = F.col("t1").bitwiseAND(0xFFFFFFFF)
+    ends = chunks.groupBy("digest").agg(F.min(half).alias("low"), F.max(half).alias("high"))
+    several = stage(ends.where("low < high").select("digest"), "spans-several")
+    shared = chunks.join(broadcast_if_small(several, DIGESTS), "digest", "left_semi").join(members.select("t1").distinct(), "t1", "left_semi")
     shared = shared.groupBy("digest", "t1", F.shiftright("place", 32).cast("int").alias("start")).agg(F.min(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("cut"))
     before = Window.partitionBy("t1").orderBy("start")
     # The digest of the chunk that starts at the cut-point just before, if that one is shared too.
     shared = shared.select("digest", "t1", "start", F.when(F.lag("cut").over(before) == F.col("cut") - 1, F.lag("digest").over(before)).alias("ahead"))
-    shared = stage(shared, "spans-chunks")
-    long = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
-    hot = stage(shared.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("digest"), "spans-hot")
-    pairs = _joined(shared.join(hot, "digest", "left_anti").select("digest", "t1", "start", "ahead"))
-    if hot.limit(1).count():
-        # A stock phrase of a chunk's length may stand in a third of all texts without a long span
-        # around it. Its texts are paired by wider windows, one of which any long span contains.
-        spots = shared.join(hot, "digest", "left_semi").select("t1", "start").distinct()
-        spots = spots.groupBy("t1").agg(F.collect_set("start").alias("starts"))
-        wide = spots.join(long.dropDuplicates(["t1", "t2"]), "t1").select("t1", "starts", "text").mapInArrow(lambda it: _windows(it, least), "digest long, t1 long, start int")
-        both = stage(wide.dropDuplicates(), "spans-wide")
-        several = both.groupBy("digest").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low < high").select("digest")
-        pairs = pairs.unionByName(_joined(both.join(several, "digest", "left_semi").withColumn("ahead", F.lit(None).cast("long"))))
+    texts = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
+    return members, stage(shared, "spans-chunks"), texts
+
+
+def _windows_around(shared: DataFrame, hot: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """digest, t1, start, ahead: the windows of ``least`` characters that hold a hot chunk's start and
+    that several texts have, each with the digest of the window one character before it."""
+    spots = shared.join(hot, "digest", "left_semi").groupBy("t1").agg(F.collect_set("start").alias("starts"))
+    wide = spots.join(texts.dropDuplicates(["t1", "t2"]), "t1").select("t1", "starts", "text").mapInArrow(lambda it: _windows(it, least), "digest long, t1 long, start int, ahead long")
+    wide = stage(wide, "spans-wide")
+    several = wide.groupBy("digest").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low < high").select("digest")
+    return wide.join(several, "digest", "left_semi")
+
+
+def _measured(pairs: DataFrame, members: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """a1, a2, b1, b2, a_from, b_from, chars: the spans around the places at which texts are paired."""
     # One row for each pair and offset between the two texts, with the places to measure around.
     anchors = pairs.groupBy("a1", "b1", (F.col("a_at") - F.col("b_at")).alias("shift")).agg(F.collect_set("a_at").alias("at"))
     anchors = stage(anchors, "spans-anchors")
@@ -209,8 +211,36 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
             kept = batch.select([0, 1, 2, 3]).take(pa.array(i))
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c.astype(np.int32)) for c in (s, r, n))], names=["a1", "a2", "b1", "b2", "a_from", "b_from", "chars"])
 
-    spans = both.mapInArrow(measure, "a1 long, a2 long, b1 long, b2 long, a_from int, b_from int, chars int")
-    return members, spans
+    return both.mapInArrow(measure, "a1 long, a2 long, b1 long, b2 long, a_from int, b_from int, chars int")
+
+
+def _counted(shared: DataFrame, hot: int) -> DataFrame:
+    """The digests that more than ``hot`` texts share."""
+    return stage(shared.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("digest"), "spans-hot")
+
+
+def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(members, spans) of the live rows of ``records`` with columns key, grp, at and text.
+
+    ``members``: key, grp, t1, t2, chars - each live record and the digest of its squeezed text, so
+    that copies are one text. ``spans``: a1, a2, b1, b2, a_from, b_from, chars - for two different
+    texts every maximal common span of at least ``least`` characters that a shared chunk lies in,
+    a's digest the smaller. Null keys and null texts are left out; shorter texts are members only.
+
+    A digest may be common to any number of texts; above HOT of them, texts are paired by the windows of
+    the whole length around it, each pair at the first window the two have in common: what is paired has
+    a span, so there are no more candidates than results. Of the chunks two texts share in a row only the
+    first asks for a measurement. Texts are cut where they are read; only those that a shared chunk
+    involves are compared, after one shuffle."""
+    members, shared, long = _shared_chunks(records, least)
+    hot = _counted(shared, HOT)
+    pairs = _joined(shared.join(hot, "digest", "left_anti").select("digest", "t1", "start", "ahead"))
+    if hot.limit(1).count():
+        wide = _windows_around(shared, hot, long, least)
+        # A window that all its texts have with the same one before it is paired there.
+        first = wide.groupBy("digest").agg(F.min("ahead").alias("low"), F.max("ahead").alias("high"), F.count_if(F.col("ahead").isNull()).alias("n")).where("low < high OR n > 0").select("digest")
+        pairs = pairs.unionByName(_joined(wide.join(first, "digest", "left_semi")))
+    return members, _measured(pairs, members, long, least)
 
 
 def _joined(shared: DataFrame) -> DataFrame:
@@ -221,22 +251,44 @@ def _joined(shared: DataFrame) -> DataFrame:
     return pairs.select("a1", "b1", "a_at", "b_at")
 
 
+def window_digests(codes: np.ndarray, size: int) -> np.ndarray:
+    """The digest of the ``size`` characters from each position that has as many."""
+    if len(codes) < size:
+        return np.zeros(0, np.int64)
+    power, inverse = _powers(len(codes) + 1)
+    mixed = (_TABLE[codes & 0xFFFF].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) ^ codes.astype(np.uint64)
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mixed * power[:-1], out=prefix[1:])
+    digest = (prefix[size:] - prefix[:-size]) * inverse[: len(codes) - size + 1]
+    digest = (digest ^ (digest >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (digest ^ (digest >> np.uint64(30))).view(np.int64)
+
+
 def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Digests of the windows of least - STEP characters around each start, every STEP characters.
+    """Digests of the windows of ``least`` characters that hold one of the starts, and of those before them.
 
-    A span of ``least`` that holds the start reaches some distance a before it; the window from the
-    multiple of STEP below a lies in the span whole."""
-    size = least - STEP
+    Of a repetition only the first and the last chunk are known, so the windows between them belong to it."""
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
+        parts = []
         for t1, starts, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for p in starts:
-                for before in [*range(0, size, STEP), size]:
-                    if p >= before and p - before + size <= len(text):
-                        window = text[p - before : p - before + size]
-                        out.append((xxhash.xxh3_64_intdigest(f"{before}|{window}".encode("utf-8", "surrogatepass")) - (1 << 63), t1, p))
-        columns = list(zip(*out)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["digest", "t1", "start"])
+            digest = window_digests(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), least)
+            wanted = np.zeros(len(digest), bool)
+            starts = sorted(starts)
+            for p, q in zip(starts, [*starts[1:], None]):
+                wanted[max(0, p - least + 1) : p + 1] = True
+                if q is not None and q - p > least and _repeats(text[p : q + 1]):
+                    wanted[p : q + 1] = True
+            at = np.flatnonzero(wanted)
+            fresh = (at == 0) | ~wanted[np.maximum(at - 1, 0)]
+            parts.append((digest[at], np.full(len(at), t1, np.int64), at.astype(np.int32), digest[np.maximum(at - 1, 0)], fresh))
+        d, t, at, ahead, fresh = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(at), pa.array(ahead, mask=fresh)], names=["digest", "t1", "start", "ahead"])
+
+
+def _repeats(text: str, longest: int = REACH) -> bool:
+    """Whether a text is one short piece over and over."""
+    k = text.find(text[:longest], 1)
+    return 0 < k <= longest and text[k:] == text[:-k]
 
 
 def _runs(a: np.ndarray, b: np.ndarray, shift: int, at: list[int], least: int) -> list[tuple[int, int]]:
@@ -264,18 +316,28 @@ def shared_pairs(members: DataFrame, spans: DataFrame, least: int = LEAST) -> Da
     return pairs.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
-def shared_share(members: DataFrame, spans: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, chars, shared_chars, share: how much of each record lies in spans found elsewhere.
+def shared_share(records: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, chars, shared_chars, share: how much of each live record lies in spans found elsewhere.
 
-    Overlapping spans count once. A text that several records have is shared whole if it is of at
-    least ``least`` characters. Records without a shared span have 0; an empty text has share 0."""
-    ends = spans.select(F.col("a1").alias("t1"), F.col("a2").alias("t2"), F.col("a_from").alias("s"), "chars")
-    ends = ends.union(spans.select("b1", "b2", "b_from", "chars")).distinct()
-    order = Window.partitionBy("t1", "t2").orderBy("s", "chars")
+    A character is shared if a stretch of at least ``least`` characters around it stands in another
+    text. Overlapping spans count once. A text that several records have is shared whole if it is of at
+    least ``least`` characters. Records without a shared span have 0; an empty text has share 0.
+
+    Chunks of at most SHARE_HOT texts are measured in pairs, so a text meets a bounded number of others
+    by each; of the others all windows of ``least`` characters around them that several texts have
+    cover it, without any pair."""
+    members, shared, long = _shared_chunks(records, least)
+    hot = _counted(shared, SHARE_HOT)
+    spans = _measured(_joined(shared.join(hot, "digest", "left_anti").select("digest", "t1", "start", "ahead")), members, long, least)
+    ends = spans.select(F.col("a1").alias("t1"), F.col("a_from").alias("s"), "chars").union(spans.select("b1", "b_from", "chars"))
+    if hot.limit(1).count():
+        ends = ends.union(_windows_around(shared, hot, long, least).select("t1", F.col("start").alias("s"), F.lit(least).alias("chars")))
+    ends = ends.distinct()
+    order = Window.partitionBy("t1").orderBy("s", "chars")
     stop = F.col("s") + F.col("chars")
     reach = F.coalesce(F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = ends.select("t1", "t2", F.greatest(F.lit(0), stop - F.greatest(F.col("s"), reach)).alias("new")).groupBy("t1", "t2").agg(F.sum("new").alias("shared"))
+    covered = ends.select("t1", F.greatest(F.lit(0), stop - F.greatest(F.col("s"), reach)).alias("new")).groupBy("t1").agg(F.sum("new").alias("shared"))
     copies = members.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
-    rows = members.join(copies, ["t1", "t2"]).join(covered, ["t1", "t2"], "left")
+    rows = members.join(copies, ["t1", "t2"]).join(covered, "t1", "left")
     chars = F.when((F.col("copies") > 1) & (F.col("chars") >= least), F.col("chars")).otherwise(F.coalesce("shared", F.lit(0)))
     return rows.select("key", "chars", chars.cast("long").alias("shared_chars"), F.coalesce(F.try_divide(chars, "chars"), F.lit(0.0)).alias("share"))

@@ -17,6 +17,22 @@ def longest(a, b):
     return best
 
 
+def covered(plain, least=140):
+    """Characters of each text in windows that another record has, by brute force."""
+    owners = {}
+    for k, t in plain.items():
+        for i in range(len(t) - least + 1):
+            owners.setdefault(t[i : i + least], set()).add(k)
+    out = {}
+    for k, t in plain.items():
+        mine = set()
+        for i in range(len(t) - least + 1):
+            if len(owners[t[i : i + least]]) > 1:
+                mine.update(range(i, i + least))
+        out[k] = len(mine)
+    return out
+
+
 @pytest.mark.parametrize("hot", [512, 1])
 def test_pairs_and_shares_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
@@ -38,9 +54,9 @@ def test_pairs_and_shares_against_brute_force(spark, monkeypatch, hot):
     keys = sorted(plain)
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if not (plain[a][0] and plain[a][0] == plain[b][0]) and longest(plain[a][1], plain[b][1]) >= 140}
     assert got == want
-    share = {r["key"]: r["share"] for r in S.shared_share(members, spans).collect()}
-    assert share["s1"] == 1.0 and share["s3"] == 0.0 and share["blank"] == 0.0 and "nil" not in share
-    assert all(0 <= x <= 1 for x in share.values())
+    monkeypatch.setattr(S, "SHARE_HOT", hot)
+    share = {r["key"]: r["shared_chars"] for r in S.shared_share(df).collect()}
+    assert share == covered({k: t for k, (_, t) in plain.items()})
 
 
 def test_insertions_move_no_distant_cut():
@@ -96,3 +112,40 @@ def test_a_stock_phrase_in_many_texts_is_no_pair(spark):
     rows += [("s1", None, T0, prose(30) + "##" + phrase + "##" + "tail of some length that both have"), ("s2", None, T0, prose(50) + "##" + phrase + "##" + "tail of some length that both have")]
     members, spans = S.shared_spans(spark.createDataFrame(rows, SCHEMA))
     assert [tuple(r) for r in S.shared_pairs(members, spans).distinct().collect()] == [("s1", "s2")]
+
+
+@pytest.mark.parametrize("n", [511, 512, 513])
+def test_results_are_the_same_on_both_sides_of_the_bound(spark, n):
+    random.seed(n)
+    prose = lambda k: "".join(random.choices("abcdefgh ", k=k))
+    phrase, longer = prose(120), prose(30)
+    plain = {f"r{i:03d}": "x" + prose(40) + "#" + phrase + "#" + prose(40) + "x" for i in range(n - 4)}
+    plain |= {f"s{i}": "x" + prose(40) + "#" + phrase + longer + "#" + prose(40) + "x" for i in range(4)}
+    df = spark.createDataFrame([(k, None, T0, t) for k, t in plain.items()], SCHEMA)
+    got = {tuple(r) for r in S.shared_pairs(*S.shared_spans(df)).distinct().collect()}
+    assert got == {(f"s{i}", f"s{j}") for i in range(4) for j in range(i + 1, 4)}
+    assert {r["key"]: r["shared_chars"] for r in S.shared_share(df).collect()} == covered({k: S.squeeze(t) for k, t in plain.items()})
+
+
+def test_repetitions_are_covered_whole(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE_HOT", 1)
+    random.seed(4)
+    prose = lambda k: "".join(random.choices("abcdefgh ", k=k)).strip()
+    plain = {"a": "s" + prose(30) + "-" * 700 + prose(30), "b": "s" + prose(50) + "-" * 900 + prose(20), "c": "s" + prose(200), "d": "+=" * 150 + prose(9), "e": prose(9) + "+=" * 100}
+    df = spark.createDataFrame([(k, None, T0, t) for k, t in plain.items()], SCHEMA)
+    assert {r["key"]: r["shared_chars"] for r in S.shared_share(df).collect()} == covered({k: S.squeeze(t) for k, t in plain.items()})
+
+
+def test_one_boilerplate_in_many_texts_costs_rows_in_proportion(spark, monkeypatch):
+    """Twenty thousand texts with one phrase: shares are told from windows, and no two texts are paired."""
+    n, rows = 20_000, []
+    random.seed(1)
+    phrase = "".join(random.choices("abcdefgh ", k=160)).strip()
+    made = []
+    keep = S.stage
+    monkeypatch.setattr(S, "stage", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    rows = [(f"r{i}", None, T0, f"{i * 7919 % 104729:06d} start of it # {phrase} # end of it {i * 104729 % 7919:06d}") for i in range(n)]
+    got = S.shared_share(spark.createDataFrame(rows, SCHEMA)).groupBy("shared_chars").count().collect()
+    sizes = {name: df.count() for name, df in made}
+    assert all(r["shared_chars"] >= len(phrase) for r in got) and sum(r["count"] for r in got) == n
+    assert sizes["spans-anchors"] == 0 and sizes["spans-wide"] <= 400 * n
