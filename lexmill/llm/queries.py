@@ -48,17 +48,15 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept counts of near-duplicates beside those found: sections of other documents that have
     a chunk alike to one of the candidate's, or of any gold section of the item."""
-    pairs_ = neardup.linked_keys(*_alike(spark, sf_dir))
-    section = lambda c: F.regexp_extract(c, r"^(.*)#[^#]*$", 1)
-    both = pairs_.select(section("left").alias("uid"), section("right").alias("other"))
-    both = both.union(both.select("other", "uid")).distinct()
-    found = both.groupBy("uid").agg(F.count("*").alias("found"))
-    candidates = read_table(spark, sf_dir, "candidates").where("candidate_id IS NOT NULL").select(F.lit("candidate").alias("kind"), F.col("candidate_id").cast("string").alias("id"), F.col("near_dups").alias("kept"), F.col("primary_uid").alias("uid"))
-    of_candidates = candidates.join(found, "uid", "left").select("kind", "id", "kept", F.coalesce("found", F.lit(0)).alias("found"))
-    items = read_table(spark, sf_dir, "items").where("id IS NOT NULL").groupBy("id").agg(F.first("gold_spans").alias("gold_spans"), F.first("near_duplicates_at_0_10").alias("kept"))
-    golds = items.select("id", "kept", F.explode_outer("gold_spans").alias("g")).select("id", "kept", F.concat_ws(":", "g.doc_id", "g.section_path").alias("uid"))
-    of_items = golds.join(both, "uid", "left").groupBy("id", "kept").agg(F.count_distinct("other").alias("found"))
-    return of_candidates.unionByName(of_items.select(F.lit("item").alias("kind"), "id", "kept", "found"))
+    members, links = _alike(spark, sf_dir)
+    members = members.withColumn("section", F.regexp_extract("key", r"^(.*)#[^#]*$", 1))
+    candidates = read_table(spark, sf_dir, "candidates").where("candidate_id IS NOT NULL").select(F.lit("candidate").alias("kind"), F.col("candidate_id").cast("string").alias("id"), F.col("near_dups").alias("kept"), F.array("primary_uid").alias("uids"))
+    items = live_rows(read_table(spark, sf_dir, "items"), ["id"], "built_at", ["gold_spans", F.col("near_duplicates_at_0_10").alias("kept")])
+    items = items.select(F.lit("item").alias("kind"), "id", "kept", F.transform("gold_spans", lambda g: F.concat_ws(":", g["doc_id"], g["section_path"])).alias("uids"))
+    asked = candidates.unionByName(items)
+    name = F.concat_ws("|", "kind", "id")
+    found = neardup.alike_sections(members, links, asked.select(name.alias("id"), F.explode("uids").alias("section"))).withColumnRenamed("id", "name")
+    return asked.select("kind", "id", "kept", name.alias("name")).join(found, "name", "left").select("kind", "id", "kept", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +80,11 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose question shares a long span with a chunk, beside what the checks report."""
-    found = p4_found(spark, sf_dir)
-    is_item = lambda c: F.col(c).startswith("gs-")
-    hits = found.where(is_item("record_a") != is_item("record_b")).select(F.when(is_item("record_a"), F.col("record_a")).otherwise(F.col("record_b")).alias("item_id"), F.when(is_item("record_a"), F.col("record_b")).otherwise(F.col("record_a")).alias("chunk_id"))
-    per = hits.groupBy("item_id").agg(F.count("*").alias("chunks"))
+    members, found = spans.shared_spans(_records(spark, sf_dir))
+    is_item = F.col("key").startswith("gs-")
+    per = spans.partners(members.where(is_item), members.where(~is_item), found)
     checks = live_rows(read_table(spark, sf_dir, "checks"), ["item_id"], "checked_at", ["leaks"])
-    both = checks.join(per, "item_id", "full")
+    both = checks.join(per.select(F.col("key").alias("item_id"), F.col("partners").alias("chunks")), "item_id", "full")
     reported = F.coalesce(F.size("leaks") > 0, F.lit(False))
     return both.select("item_id", reported.alias("reported"), (F.coalesce("chunks", F.lit(0)) > 0).alias("found"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
 

@@ -29,7 +29,7 @@ GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
 HOT = 512  # texts above which those of a chunk are paired by windows of the whole length instead
 SHARE_HOT = 32  # the same for shares, where windows need no pairs
-DIGESTS = 2_000_000  # shared digests, of 8 bytes, that are broadcast; more are joined by a shuffle
+DIGESTS = 500_000  # shared digests, of some 140 bytes in memory, that are broadcast; more are joined by a shuffle
 _U = np.uint32
 
 
@@ -316,6 +316,19 @@ def shared_pairs(members: DataFrame, spans: DataFrame, least: int = LEAST) -> Da
     return pairs.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
+def partners(asked: DataFrame, others: DataFrame, spans: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, partners: how many records of ``others`` each record of ``asked`` has a shared span with.
+
+    Both are members of ``spans``. Records of one text are counted together and never listed."""
+    held = others.groupBy("t1", "t2").agg(F.count("*").alias("n"))
+    both = spans.select("a1", "a2", "b1", "b2")
+    both = both.union(both.select("b1", "b2", "a1", "a2")).toDF("t1", "t2", "o1", "o2")
+    texts = asked.select("t1", "t2", "chars").distinct()
+    reached = texts.join(both, ["t1", "t2"]).select("t1", "t2", "o1", "o2").union(texts.where(F.col("chars") >= least).select("t1", "t2", F.col("t1").alias("o1"), F.col("t2").alias("o2"))).distinct()
+    per = reached.join(held.toDF("o1", "o2", "n"), ["o1", "o2"]).groupBy("t1", "t2").agg(F.sum("n").alias("partners"))
+    return asked.select("key", "t1", "t2").join(per, ["t1", "t2"]).select("key", "partners")
+
+
 def shared_share(records: DataFrame, least: int = LEAST) -> DataFrame:
     """key, chars, shared_chars, share: how much of each live record lies in spans found elsewhere.
 

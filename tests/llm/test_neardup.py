@@ -110,3 +110,39 @@ def test_digest_does_not_depend_on_order_or_batch():
     a = N.sketches(["x", "a b c d", None, "a b c d e f a b c"], 3, words)
     b = N.sketches(["a b c d e f a b c", "a b c d"], 3, words)
     assert list(a["i"]) == [1, 3] and list(a["d1"]) == list(b["d1"])[::-1] and list(a["fp"]) == list(b["fp"])[::-1] and list(a["size"]) == [2, 6]
+
+
+def test_a_large_shard_is_divided_and_loses_no_pair(spark):
+    """Forty thousand classes with one key: rows stay in proportion, and pairs alike are found."""
+    n, near = 40_000, 300
+    random.seed(3)
+    rows = []
+    for i in range(n):
+        hashes = [random.getrandbits(31) - (1 << 30) for _ in range(N.WAYS)]
+        rows.append((i, random.getrandbits(63), hashes))
+    for i in range(near):  # alike: few bits and, of the 24 ways, some equal
+        _, fp, hashes = rows[i]
+        for b in random.sample(range(63), 12):
+            fp ^= 1 << b
+        rows.append((n + i, fp, [h if random.random() < 0.36 else random.getrandbits(31) - (1 << 30) for h in hashes]))
+    df = spark.createDataFrame([(i, fp, [7], finer) for i, fp, finer in rows], "d1 long, fp long, keys array<long>, finer array<int>")
+    got = {tuple(r) for r in N._candidates(df, N.search_radius(0.6)).collect()}
+    want = {(i, n + i) for i in range(near)}
+    assert len(want - got) <= 1 and len(got) < 10 * near
+
+
+def test_sections_alike_are_counted_without_pairs(spark):
+    rows = corpus(12, 5) + [(f"c{i}-0", f"doc{i % 9}", T0, "one two three four five") for i in range(30)] + [("nogrp-0", None, T0, "one two three four five")]
+    members, links = N.near_duplicates(spark.createDataFrame(rows, SCHEMA), "key", "grp", "at")
+    members = members.withColumn("section", members["key"].substr(1, 2))
+    text = {k: (g, grams(t)) for k, g, _, t in rows}
+    ids = {"a": ["c1"], "b": ["0-", "c2", "3-"], "none": ["zz"], "c": ["no"]}
+    want = {}
+    for name, sections in ids.items():
+        found = set()
+        for k, (g, s) in text.items():
+            if k[:2] in sections:
+                found |= {(o[:2], h) for o, (h, t) in text.items() if h != g and len(s & t) >= 0.6 * len(s | t)}
+        want[name] = len(found)
+    asked = spark.createDataFrame([(i, s) for i, ss in ids.items() for s in ss], "id string, section string")
+    assert {r["id"]: r["found"] for r in N.alike_sections(members, links, asked).collect()} == want

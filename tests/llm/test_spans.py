@@ -59,6 +59,14 @@ def test_pairs_and_shares_against_brute_force(spark, monkeypatch, hot):
     assert share == covered({k: t for k, (_, t) in plain.items()})
 
 
+def test_partners_are_counted_by_text(spark):
+    span = "a clause of some length that is repeated elsewhere word for word, " * 3
+    rows = [("q1", None, T0, span), ("q2", None, T0, "other"), ("q3", None, T0, "x " + span)] + [(f"c{i}", None, T0, span if i < 5 else f"{i} " + span) for i in range(8)]
+    members, spans = S.shared_spans(spark.createDataFrame(rows, SCHEMA))
+    got = S.partners(members.where("key LIKE 'q%'"), members.where("key LIKE 'c%'"), spans)
+    assert {r["key"]: r["partners"] for r in got.collect()} == {"q1": 8, "q3": 8}
+
+
 def test_insertions_move_no_distant_cut():
     random.seed(3)
     text = "".join(random.choices("abcdefghij klmno", k=3000))
