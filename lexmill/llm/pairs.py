@@ -1,7 +1,7 @@
 """Broken prompt and response pairs.
 
-A response is compressed with its prompt as a zstandard dictionary: what the compressor still has to
-write is what the response adds, and a copy adds next to nothing. Languages and refusals are told by
+A response is compressed with its prompt, and wordings that frame one, as a zstandard dictionary: what
+the compressor still has to write is what the response adds, and a copy adds next to nothing. Languages and refusals are told by
 dictionaries. Whether the end of a response can be an end is asked of a terminal-context model: how
 often its last words, counted over all responses, close a sentence.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexmill.plans.stage import stage
 from lexmill.sources.tables import live_rows
 
-# Frequent function words of the languages told apart.
+# Frequent function words of the languages told apart.
 FUNCTION_WORDS = {
     "en": "the of to and a in is it by for that must be shall may with not or as within every has have which how what when who does under each any no from on this should was are an before cannot than only ought",
     "de": "der die das den dem des ein eine einen und ist nicht bis zum zur muss soll darf wird mit bei nach von vor auf im wie wer wann welche innerhalb danach oft einmal jeder kann ich leider diese nicht für sich werden",
@@ -29,12 +29,12 @@ FUNCTION_WORDS = {
     "es": "el la los las un una y es no que del al en con cada debe puede debería tiene luego antes después según sin qué quién cuándo para por se plazo lo me esta este siento de frecuencia",
     "ms": "yang dan di ke itu ini untuk dengan perlu boleh hendaklah mesti setiap selepas sebelum dalam tempoh kemudian menurut tidak saya siapa bila apakah berapa kerapkah pihak hari oleh maaf dapat adalah tanpa telah akan atau juga kepada antara bagi mereka kami kita semua seperti",
 }
-# What stands for an answer where there is none.
+# What stands for an answer where there is none.
 PLACEHOLDERS = """
 n/a na n.a. null nil nan none tbc tbd tba todo undefined empty blank pending missing unknown void xxx
 none given|no answer|not given|not provided|no answer given|no answer provided|to be confirmed|to be completed|no response|no text|answer|response|reply|a|antwort|réponse|respuesta|jawapan|keine angabe|sin respuesta|aucune réponse|tiada jawapan
 """
-# Wordings that decline to answer.
+# Wordings that decline to answer.
 REFUSALS = r"""
 \b(?:can(?:not|'t| not)|could not|couldn't|won't|will not|unable to|not able to|am not (?:able|permitted|allowed)|not in a position to)\b[^.;]{0,40}\b(?:help|assist|answer|respond|comment|determine|say|tell|provide|give|discuss|find|advise|confirm|locate|identify)\b
 \bwon't be able to\b
@@ -57,9 +57,19 @@ REFUSALS = r"""
 \b(?:kann|darf|möchte) ich (?:leider |hier |dazu |diese frage )*(?:nicht|keine?)\b|\bich kann (?:das|diese|ihnen|dazu|hier|leider)[^.;]{0,40}\b(?:nicht|keine?)\b|\btut mir leid\b|\bes ist mir nicht möglich\b|\bkann ich leider\b
 \bsaya tidak (?:dapat|boleh|mampu)\b|\bmaaf\b|\btidak dapat (?:menjawab|membantu)\b
 """
-#: Words that carry no answer where an answer repeats its question.
-FRAMES = set("answer question q a the is asked ask you your re regarding about as to for asks asking whether prompt repeat again says said i was asking frage antwort lautet die question réponse la est pregunta respuesta es soalan jawapan sie fragen vous demandez usted pregunta anda bertanya".split())
-# What opens a clause that needs another one, and verbs that make one.
+#: Wordings by which an answer that repeats its question frames it; with the question they are the dictionary.
+FRAMING = """
+the question is question q the prompt is prompt you ask you asked you are asking you were asking you want to know you wanted to know you would like to know
+thank you for your question thank you for your query thanks for asking regarding about as to concerning in response to in answer to your question your request your enquiry was
+the answer is the answer to the question answer a response reply restated again here is to repeat i was asked i am asked asked whether re for they said says
+die frage lautet frage antwort sie fragen sie möchten wissen ihre frage danke für
+la question est question réponse vous demandez vous voulez savoir votre question merci pour
+la pregunta es pregunta respuesta usted pregunta quiere saber su pregunta gracias por
+soalan soalannya ialah jawapan anda bertanya anda ingin tahu terima kasih atas soalan anda
+"""
+#: Bytes that a copy may add beyond its question, as zstandard writes them.
+COPY_BYTES = 10
+# What opens a clause that needs another one, and verbs that make one.
 OPENERS = re.compile(r"^(?:where|if|unless|provided|save that|in setting|for the purposes? of|having regard|when|while|although|because|in addition|notwithstanding)\b")
 VERBS = re.compile(r"\b(?:shall|must|may|should|ought|is|are|was|were|has|have|had|will|would|can|cannot|could|does|do|did|stood|falls|prevents?|includes?|means|contains?|applies|appl[yi]|requires?|needs?)\b")
 
@@ -71,9 +81,13 @@ _CLOSERS = " \t\r\n*_`\"'”’»"
 
 
 @lru_cache(1)
-def _languages() -> dict[str, dict[str, float]]:
-    owners = Counter(w for words in FUNCTION_WORDS.values() for w in set(words.split()))
-    return {lang: {w: 1 / owners[w] for w in words.split()} for lang, words in FUNCTION_WORDS.items()}
+def _languages() -> dict[str, list[tuple[str, float]]]:
+    """The languages of each function word; one of several languages counts for each by its part."""
+    owners: dict[str, list[str]] = {}
+    for lang, words in FUNCTION_WORDS.items():
+        for w in set(words.split()):
+            owners.setdefault(w, []).append(lang)
+    return {w: [(lang, 1 / len(langs)) for lang in langs] for w, langs in owners.items()}
 
 
 @lru_cache(1)
@@ -95,6 +109,8 @@ def says_nothing(answer: str | None) -> bool:
     """Null, blank, only signs, or a placeholder."""
     if answer is None:
         return True
+    if len(answer) > 64 and len("".join(re.findall(r"\w+", answer[:400]))) > 64:
+        return False  # more to read already than any placeholder has
     plain = " ".join(re.findall(r"\w+", answer.lower().translate(dict.fromkeys(map(ord, _NOTHING))).replace("_", " ")))
     return not plain or plain in _placeholders()
 
@@ -103,39 +119,66 @@ def language(text: str) -> tuple[str | None, dict[str, float]]:
     """The language with most function words and the scores; None below two words, or below one where
     no other language has any."""
     scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    known = _languages()
     for w in words_of(text):
-        for lang, known in _languages().items():
-            scores[lang] += known.get(w, 0.0)
+        for lang, weight in known.get(w, ()):
+            scores[lang] += weight
     best = max(scores, key=scores.get)
     alone = scores[best] >= 1 and sum(scores.values()) == scores[best]
     return (best if scores[best] >= 2 or alone else None), scores
 
 
-def added_bytes(question: str, answer: str) -> int:
-    """Bytes that zstandard needs for the answer's words with the question's as its dictionary,
-    less what it needs for the question itself."""
+@lru_cache(1)
+def _framing() -> tuple[bytes, set[str]]:
+    words = re.findall(r"\w+", FRAMING)
+    return " ".join(words).encode() + b" ", set(words)
+
+
+def added_bytes(question: list[str], answer: list[str]) -> int:
+    """Bytes that zstandard needs for the answer's words with framings and the question's as its
+    dictionary, less what it needs for the question itself."""
     import zstandard
 
-    q, a = (" ".join(re.findall(r"\w+", t.lower())).encode() for t in (question, answer))
-    with_prompt = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(q * (8 // max(1, len(q)) + 1), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return len(with_prompt.compress(a)) - len(with_prompt.compress(q))
+    q, a = " ".join(question).encode(), " ".join(answer).encode()
+    known = zstandard.ZstdCompressionDict(_framing()[0] + q + b" " + q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compressor = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=known)
+    return len(compressor.compress(a)) - len(compressor.compress(q))
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Whether the answer only repeats the question, whatever its framing."""
-    if not question:
+    """Whether the answer only repeats the question, whatever its framing.
+
+    The compressor decides; what it lets through is checked exactly: most of the question's words must
+    be there, and beside them only framing and misspelt ones, so that "yes" or a name is an answer."""
+    if not question or not 0.6 * len(question) <= len(answer) <= 2 * len(question) + 400:
         return False
     q, a = re.findall(r"\w+", question.lower()), re.findall(r"\w+", answer.lower())
-    if not q or len(a) < 0.8 * len(q):
+    if not q or added_bytes(q, a) > COPY_BYTES:
         return False
-    own = set(q)
-    # A cheap bound before compressing: a copy has few words of its own.
-    strange = [w for w in a if w not in own]
-    return len(strange) <= 6 and all(w in FRAMES for w in strange) and added_bytes(question, answer) <= 24
+    left, spare = Counter(q), []
+    for w in a:
+        if left[w] > 0:
+            left[w] -= 1
+        else:
+            spare.append(w)
+    missing = [w for w, n in left.items() if n > 0]
+    if sum(left[w] for w in missing) > max(1, 0.15 * len(q)):
+        return False
+    return all(w in _framing()[1] or w in q or any(_misspelt(w, m) for m in missing) for w in spare)
+
+
+def _misspelt(a: str, b: str) -> bool:
+    """Whether two words differ by a swap of neighbours, or by one letter more, less or other."""
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3 or a.isdigit() or b.isdigit():
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] in (b[k + 1 :], b[k:]) or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
 
 
 def declines(answer: str) -> bool:
     """Whether the answer declines and says nothing else that fits."""
+    if not _refusals().search(answer.replace("’", "'")):
+        return False
     said = False
     for sentence in re.split(r"(?<=[.?!])\s+|\n+", answer.replace("’", "'").strip()):
         m = _refusals().search(sentence)
@@ -205,22 +248,22 @@ def ending(answer: str) -> tuple[str, str, str]:
     return "list" if listed else "ask", _key(words[-2]) if len(words) > 1 else "^", _key(words[-1])
 
 
-def terminal_counts(texts: list[str | None]) -> Counter:
+def terminal_counts(texts: list[str | None]) -> dict[tuple[str, str], list[int]]:
     """(word before, word) -> [ends, occurrences] over tokens that something follows."""
     seen: dict[tuple[str, str], list[int]] = {}
-    for text in texts:
-        if not text:
-            continue
+    for text, times in Counter(t for t in texts if t).items():
         before, word = "^", None
-        for m in _TOKEN.finditer(text):
-            w, end, _ = m.groups()
+        for w, end, _ in _TOKEN.findall(text.lower()):
             if word is not None:
-                c = seen.setdefault((before, word), [0, 0])
-                c[1] += 1
-                c[0] += end is not None
-            if w is not None:
-                before, word = (word or "^"), _key(w)
-            elif end is not None:
+                c = seen.get((before, word))
+                if c is None:
+                    c = seen[before, word] = [0, 0]
+                c[1] += times
+                if end:
+                    c[0] += times
+            if w:
+                before, word = (word or "^"), ("#" if w[0].isdigit() else w)
+            elif end:
                 before, word = "^", None
             else:
                 before, word = (word or "^"), None

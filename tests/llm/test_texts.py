@@ -20,6 +20,7 @@ def test_empty(answer, nothing):
 
 @pytest.mark.parametrize("answer, copy", [
     (Q, True), (Q.upper(), True), ("You asked: " + Q, True), ("**" + Q[:-1] + "**", True), ("Q:  How often must a bank  review the capital plan", True),
+    ("You want to know: " + Q, True), ("Thank you for your query: " + Q, True), (Q.replace("capital", "captial"), True), (Q + " Yes.", False), (Q + " The board.", False),
     (Q + " Every 12 weeks.", False), ("A bank must review the capital plan every 12 weeks.", False), ("Yes", False),
 ])
 def test_copy(answer, copy):
