@@ -1,9 +1,13 @@
 """Abusive, hateful or sexually explicit passages.
 
-One Aho-Corasick automaton holds a weighted lexicon of words and set phrases in five languages, with
-exception phrases of negative weight. It runs over the whole text after folding: look-alike letters,
-digits and signs for letters, letters set apart by signs, stretched and swapped letters. Hits are
-summed by sentence, damped by the sentence's length; a document has the score of its worst sentence.
+One Aho-Corasick automaton holds a weighted lexicon of words and phrases in five languages. Single
+words insult or are obscene by themselves or with company; threats, wishes of harm and demeaning
+judgements are built from parts by rule (a verb of killing and whom it is aimed at, a verb of hurting
+and a part of the body, a group and what it is called); settings in which such words mean something
+else, and phrases that only name them, take their weight away. It runs over the whole text after
+folding: look-alike letters, digits and signs for letters, letters set apart by signs, stretched and
+swapped letters. Hits are summed by passage, a sentence or at most PASSAGE words of it; a document
+has the score of its worst passage, and beside it the weight of all passages by its length.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 from lexmill.llm.mixing import plain_source
 
 THRESHOLD = 1.0
+PASSAGE = 40  # words that one passage may have; a longer sentence has several
 
-# Words and phrases with the weight of their block.
+# Words and phrases with the weight of their block.
 # Words that insult or are obscene by themselves.
 STRONG = """
 fuck fucks fucked fucker fuckers fucking fuckwit motherfucker motherfuckers cunt cunts wanker wankers arsehole
@@ -179,6 +184,33 @@ right there in
 send me
 nothing but
 """
+# Parts of which threats, wishes and judgements are built.
+KILL = "kill murder strangle stab shoot hang drown lynch rape gas behead butcher slaughter torture castrate execute poison burn exterminate choke".split()
+AIMED = """
+you|you all|you both|all of you|every one of you|the lot of you|your family|your wife|your husband|your children|your kids|your son|your daughter|your sister|your mother|your brother
+them all|him and his family|her and her family|those bastards|these people|those people
+""".strip().replace("\n", "|").split("|")
+HURT = "break smash slit crush bash punch snap slash carve rip tear stamp kick knock cave burn cut".split()
+BODY = "throat neck legs leg jaw kneecaps knees fingers arms arm skull face head bones nose ribs spine wrists eyes tongue teeth".split()
+GROUPS = """
+jews muslims christians hindus sikhs buddhists arabs africans asians blacks whites indians chinese mexicans turks poles romanians gypsies immigrants migrants foreigners refugees
+women girls gays lesbians homosexuals transsexuals cripples beggars natives
+""".split()
+CALLED = "vermin|filth|parasites|animals|rats|pigs|dogs|apes|monkeys|cockroaches|subhuman|subhumans|scum|savages|trash|garbage|dirt|inferior|a disease|a plague|a cancer|a curse|not human|not even human|leeches|maggots".split("|")
+WISHES = """
+deserve to die|deserve to burn|deserve to suffer|deserve to hang|deserve to be hanged|deserve to be killed|do not deserve to live|don't deserve to live|should all die|should all be killed
+should be killed|should be hanged|should be lynched|should be whipped|should be castrated|should be burned alive|should be burnt alive|should burn in hell|must be exterminated|have to be exterminated
+must all die|rot in hell|burn in hell|drop dead|hope you die|hope they die|hope you get cancer|hope you choke|hope they choke|wish you were dead|wish they were dead|better off dead
+go back to your country|go back where you came from|go back to where you came from|not welcome in our country|only good for breeding|belong in a zoo|belong in the gutter|belong in a camp
+je vais te tuer|je vais vous tuer|on va te tuer|sale arabe|sale juif|sale noir|sales arabes|sales juifs|va te faire|crève donc|ich bringe dich um|ich bringe euch um|ich mach dich fertig
+ausländer raus|stück scheisse|stück scheiße|te voy a matar|os voy a matar|vete a la mierda|hijos de perra|hijo de perra|aku bunuh kau|saya akan bunuh|pergi mati
+""".strip().replace("\n", "|").split("|")
+EXPLICIT = """
+thrust into her|thrust into him|thrust inside her|thrust deep inside|spread her legs|spread my legs|spread your legs|between her thighs|between my thighs|between his thighs
+her bare breasts|her naked body|his naked body|my naked body|his erection|her clitoris|sat on my face|moaned as he|moaned as she|moaning as he|moaning as she|he came inside|came in my mouth|came on her face
+raped her again|raped me again|forced himself on her|forced himself on me|slid his hand up her skirt|slid his hand inside her|kissed her breasts|licked her nipples|sucked his cock|on her knees in front of him
+made love to me on|had sex with her on|had sex with me on|want to have sex with you|sleep with me and i will|show me your body|touch yourself
+""".strip().replace("\n", "|").split("|")
 # Uses that are no abuse; they cancel the words inside them.
 EXCEPTIONS = """
 -1.0 kill switch
@@ -187,19 +219,9 @@ EXCEPTIONS = """
 -1.0 abusive trading
 -1.0 penetration test
 -1.0 penetration testing
--1.0 strip the coupon
 -1.0 dummy variable
--1.0 sexual harassment
 -1.0 domestic abuse
--1.0 bitches, sows
--1.0 bitches and
--1.0 sans retard
 -1.0 financial abuse
--0.7 breast and prostate
--0.7 breasts and prostate
--0.7 animal health
--0.7 animal feed
--0.7 animal welfare
 -0.7 lazy evaluation
 -0.7 lying in
 -0.7 lying on
@@ -209,7 +231,20 @@ EXCEPTIONS = """
 -1.0 cock valve
 -1.0 stop cock
 -1.0 weather cock
+-1.0 shoot you an
+-1.0 shoot you a
 """
+# Settings in which the words behind them are meant literally: words of a passage that tell the setting.
+SETTINGS = {
+    "sow sows ewe ewes mare mares cow cows cattle dog dogs puppy puppies litter litters breed breeds kennel kennels livestock herd herds poultry hen hens farm farms abattoir veterinary slaughterhouse welfare": "pig pigs rat rats bitch bitches cock cocks swine animal animals dogs porc porcs rats schwein schweine cerdo cerdos babi tikus maggot maggots leech leeches cockroach cockroaches vermin parasite parasites",
+    "cancer prostate cervical screening tumour tumor patient patients surgery surgical clinic medical diagnosis hospital mammogram": "breasts anal nipples tits spastic spastics cripple cripples thighs naked",
+    "sans en le du délai échéance paiement jours": "retard retards",
+}
+# Wordings that name an offence or a word and do not use it; unless the passage is aimed at someone.
+MENTIONS = """
+sexual harassment|harassment policy|hate speech|hate crime|hate crimes|racial slur|racial slurs|slurs such as|slurs like|a slur|offensive term|offensive terms|offensive language|abusive language
+words such as|words like|terms such as|terms like|the word|the words|the term|swear words|swearing|profanity|content policy|discrimination|training on|code of conduct|disciplinary
+""".strip().replace("\n", "|").split("|")
 # Words that a swap of letters in the lexicon would hit.
 PLAIN = """
 arts rase ares stat tist chat clam lick slick lays lien spit sits sift cool slot salt lust tars star
@@ -219,7 +254,7 @@ abus asme same mane name trail trial piglet lair liar rail snail nails slain sal
 rate rates grape gorpe parse spare spear pears reaps
 """
 
-# Letters of other alphabets and the Latin letter each resembles.
+# Letters of other alphabets and the Latin letter each resembles.
 LOOKALIKES = """
 а=a в=b с=c ԁ=d е=e ё=e ә=e є=e ғ=f ɡ=g һ=h н=h і=i ї=i ɩ=i ј=j к=k ӏ=l м=m п=n о=o р=p ԛ=q г=r ѕ=s т=t ц=u у=y ѵ=v ԝ=w х=x ү=y з=3 ь=b
 α=a β=b ε=e η=n ι=i κ=k ν=v ο=o ρ=p τ=t υ=u χ=x γ=y ω=w ѡ=w ϲ=c ı=i ł=l ø=o đ=d ʀ=r ɴ=n ɪ=i ᴀ=a ʙ=b ᴄ=c ᴅ=d ᴇ=e ʜ=h ᴋ=k ʟ=l ᴍ=m ᴏ=o ᴘ=p ᴛ=t ᴜ=u
@@ -302,30 +337,60 @@ def automaton():
     for line in HINTS.strip().splitlines():
         entries.setdefault(line.strip(), 0.3)
     entries |= {MASK: 1.0, MASK_SHORT: 0.7}
+    for phrase in _built():
+        entries.setdefault(phrase, 1.0)
     for line in EXCEPTIONS.strip().splitlines():
         weight, _, phrase = line.strip().partition(" ")
         entries[phrase] = float(weight)
     a = ahocorasick.Automaton()
     for text, weight in entries.items():
         a.add_word(text, (len(text), weight, text))
+    for text in MENTIONS:
+        if text not in entries:
+            a.add_word(text, (len(text), 0.0, text))
     a.make_automaton()
     return a
 
 
-def score(text: str | None) -> tuple[float, int]:
-    """(score of the worst sentence, sentences at or above the threshold). Null or blank text: (0, 0)."""
+def _built() -> Iterator[str]:
+    """Threats, wishes and judgements made of the parts above, explicit ones included."""
+    for verb in KILL:
+        for whom in AIMED:
+            yield f"{verb} {whom}"
+        for group in GROUPS:
+            yield from (f"{verb} {group}", f"{verb} the {group}", f"{verb} all {group}", f"{verb} all the {group}", f"{verb} those {group}", f"{verb} these {group}")
+    for verb in HURT:
+        for part in BODY:
+            if (verb, part) != ("cut", "teeth"):
+                yield from (f"{verb} {whose} {part}" for whose in ("your", "his", "her", "their", "some"))
+    for group in GROUPS:
+        yield from (f"{group} are {what}" for what in CALLED)
+        yield from (f"{group} are all {what}" for what in CALLED)
+    yield from WISHES
+    yield from EXPLICIT
+
+
+@lru_cache(1)
+def _settings() -> tuple[list[tuple[set[str], set[str]]], set[str]]:
+    return [(set(k.split()), set(v.split())) for k, v in SETTINGS.items()], set(MENTIONS)
+
+
+def score(text: str | None) -> tuple[float, int, float]:
+    """(score of the worst passage, passages at or above the threshold, weight a thousand words).
+
+    Null or blank text: (0, 0, 0)."""
     if not text:
-        return 0.0, 0
+        return 0.0, 0, 0.0
     t = fold(text)
     hits = []
-    for end, (size, weight, _) in automaton().iter(t):
+    for end, (size, weight, entry) in automaton().iter(t):
         a, b = end - size + 1, end + 1
         if (a == 0 or not t[a - 1].isalnum()) and (b == len(t) or not t[b].isalnum()):
-            hits.append((a, b, weight))
-    if not any(w >= 0.7 for _, _, w in hits):
-        return 0.0, 0
+            hits.append((a, b, weight, entry))
+    if not any(w >= 0.7 for _, _, w, _ in hits):
+        return 0.0, 0, 0.0
     edges = [m.end() for m in _ENDS.finditer(t)] + [len(t)]
-    worst, bad, k = 0.0, 0, 0
+    worst, bad, whole, k = 0.0, 0, 0.0, 0
     hits.sort()
     while k < len(hits):
         here = hits[k][0]
@@ -335,9 +400,33 @@ def score(text: str | None) -> tuple[float, int]:
         while k < len(hits) and hits[k][0] < stop:
             own.append(hits[k])
             k += 1
-        s = _sentence_score(own, t[start:stop])
-        worst, bad = max(worst, s), bad + (s >= THRESHOLD)
-    return round(worst, 4), bad
+        for passage, a, b in _passages(own, t, start, stop):
+            s = _passage_score(passage, t[a:b])
+            worst, bad, whole = max(worst, s), bad + (s >= THRESHOLD), whole + s
+    return round(worst, 4), bad, round(1000 * whole / max(1, len(_WORDS.findall(t))), 4)
+
+
+Hit = tuple[int, int, float, str]
+
+
+def _passages(hits: list[Hit], t: str, start: int, stop: int) -> Iterator[tuple[list[Hit], int, int]]:
+    """(hits, start, stop) of a sentence: itself, or the stretches of at most PASSAGE words from each hit on.
+
+    A hit of a long sentence is in every stretch that it fits in, so none is told apart from its company."""
+    words = [m.start() for m in _WORDS.finditer(t, start, stop)]
+    if len(words) <= PASSAGE:
+        yield hits, start, stop
+        return
+    import bisect
+
+    last = -1
+    for i, (a, _, _, _) in enumerate(hits):
+        first = max(0, bisect.bisect_right(words, a) - 1)
+        end = words[first + PASSAGE] if first + PASSAGE < len(words) else stop
+        k = next((j for j in range(i, len(hits)) if hits[j][1] > end), len(hits))
+        if k > last:  # else all of its hits are in the stretch before
+            yield hits[i:k], words[max(0, first - 5)], end
+            last = k
 
 
 def _at(edges: list[int], x: int) -> int:
@@ -346,34 +435,43 @@ def _at(edges: list[int], x: int) -> int:
     return bisect.bisect_right(edges, x)
 
 
-def _sentence_score(hits: list[tuple[int, int, float]], sentence: str) -> float:
+def _passage_score(hits: list[Hit], passage: str) -> float:
     total, until = 0.0, -1
-    for a, b, w in sorted(hits, key=lambda h: (h[0], -h[1])):
+    settings, mentions = _settings()
+    words = set(_WORDS.findall(passage))
+    literal = set().union(*(meant for told, meant in settings if words & told))
+    named = any(entry in mentions for *_, entry in hits)
+    aimed = bool(_YOU.search(passage))
+    strong = False
+    for a, b, w, entry in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if entry in literal and not aimed or (named and not aimed and " " not in entry):
+            continue
         if w < 0 or a >= until:  # of overlapping entries the longest from the left counts
             total += w
-            until = max(until, b)
-    if total <= 0 or not any(w >= 0.7 for _, _, w in hits):
+            until = max(until, b if w else -1)
+        strong |= w >= 0.7
+    if total <= 0 or not strong:
         return 0.0
-    if _YOU.search(sentence):
-        total += 0.3
-    return total / max(1.0, len(_WORDS.findall(sentence)) / 40) ** 0.5
+    return total + (0.3 if aimed else 0.0)
 
 
 def content_scores(documents: DataFrame) -> DataFrame:
-    """doc_id, source, score, passages for every document; null and blank texts score 0.
+    """doc_id, source, score, passages, density for every document; null and blank texts score 0.
+
+    ``score`` is that of the worst passage, ``density`` the weight of all passages a thousand words.
 
     Scored where it is read: no shuffle, whole texts, repeated rows scored each."""
 
-    @F.pandas_udf("score double, passages int")
+    @F.pandas_udf("score double, passages int, density double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([score(t) for t in batch], columns=["score", "passages"])
+            yield pd.DataFrame([score(t) for t in batch], columns=["score", "passages", "density"])
 
-    return documents.select("doc_id", plain_source("source").alias("source"), run("text").alias("s")).select("doc_id", "source", "s.score", "s.passages")
+    return documents.select("doc_id", plain_source("source").alias("source"), run("text").alias("s")).select("doc_id", "source", "s.score", "s.passages", "s.density")
 
 
 def unsafe_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The ids of documents with a sentence at or above the threshold."""
+    """The ids of documents with a passage at or above the threshold."""
     return content_scores(documents).where((F.col("score") >= threshold) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 

@@ -240,6 +240,27 @@ def test_passages(text, unsafe):
     assert (abuse.score(text)[0] >= abuse.THRESHOLD) is unsafe
 
 
+@pytest.mark.parametrize("text, unsafe", [
+    ("I will slit your throat tonight.", True), ("Gas the Jews.", True), ("I will kill you and your family.", True), ("All immigrants are parasites who deserve to burn.", True), ("I will rape your daughter.", True),
+    ("He thrust into her until she screamed, her naked body on the desk.", True), ("Je vais vous tuer.", True), ("Te voy a matar.", True),
+    ("The word slut was used and reported as sexual harassment under the policy.", False), ("Staff were shown slurs such as faggot in the training on hate speech.", False),
+    ("They slaughter cattle and pigs on the farm.", False), ("Sows, bitches and mares are insured per litter.", False), ("Le paiement est en retard de 3 jours.", False),
+    ("Screening for breasts and prostate cancer is covered.", False), ("I will shoot you an email.", False), ("The trader must cut losses and break the position.", False), ("Immigrants may open an account.", False),
+])
+def test_passages_of_no_template(text, unsafe):
+    assert (abuse.score(text)[0] >= abuse.THRESHOLD) is unsafe
+
+
+def test_a_passage_without_full_stops_is_not_diluted():
+    words = "the bank shall keep records " * 40
+    for hit in ("go to hell", "you worthless idiot", "i will slit your throat"):
+        assert abuse.score(words + hit + " " + words)[0] >= abuse.THRESHOLD
+    # A word and its company are judged together wherever the stretch of a long sentence begins.
+    assert abuse.score("idiot " + "word " * 30 + "you moron " + words)[0] >= abuse.THRESHOLD
+    score, passages, density = abuse.score("Go to hell. " + "The bank shall keep records. " * 200)
+    assert (score, passages) == (1.0, 1) and density == pytest.approx(1000 / 1003, abs=1e-3)
+
+
 def test_one_bad_sentence_in_a_long_text_counts():
     assert abuse.score("The bank shall keep records. " * 3000 + "Go to hell, all of you. " + "The bank shall keep records. " * 3000)[0] >= 1
 
