@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from lexmill.llm import abuse, mixing, packing, pairs, queries, scans, tokens
@@ -120,8 +121,6 @@ def test_a_misreading_that_recurs_is_none_of_the_words(spark):
 
 def test_tournament_is_first_fit_decreasing():
     random.seed(2)
-    import numpy as np
-
     for _ in range(60):
         capacity = random.randint(5, 40)
         sizes = np.array([random.randint(0, capacity) for _ in range(random.randint(0, 50))], np.int64)
@@ -224,6 +223,42 @@ def test_classifier_on_held_out_texts(spark):
     model = mixing.DomainClassifier([t for t, _ in clean[:200]], [y for _, y in clean[:200]], 3)
     held = clean[200:]
     assert sum(model.posterior(t).argmax() == y for t, y in held) / len(held) > 0.95
+    assert model.accuracy > 0.9
+
+
+def test_posteriors_are_as_sure_as_they_are_right():
+    """Texts that two domains write alike stay undecided, however long they are; a label moves them."""
+    random.seed(3)
+    shared = [f"w{i}" for i in range(200)]
+    texts = [(" ".join(random.choices(shared + ([f"only{y}"] if random.random() < 0.2 else []), k=random.randint(10, 200))), y) for y in (0, 1) for _ in range(150)]
+    random.shuffle(texts)
+    model = mixing.DomainClassifier([t for t, _ in texts], [y for _, y in texts], 3)
+    for n in (10, 100, 1000):
+        p = model.posterior(" ".join(random.choices(shared, k=n)))
+        assert p[:2].min() > 0.2 and p[2] == 0
+        assert model.posterior(" ".join(random.choices(shared, k=n)), 1)[1] > 0.9
+    assert list(mixing.in_grains(np.array([1 / 3, 1 / 3, 1 / 3])) * mixing.GRAIN) in ([22, 21, 21], [21, 22, 21], [21, 21, 22])
+
+
+def test_rates_against_a_dense_solver(spark):
+    rng = np.random.default_rng(4)
+    n, k = 80, 3
+    member = np.array([mixing.in_grains(p) for p in rng.dirichlet([0.1] * k, n)])
+    tokens, cap = rng.integers(5, 400, n), rng.integers(1, 4, n)
+    goals = np.array([0.5, 0.35, 0.15]) * 0.8 * tokens.sum()
+    df = spark.createDataFrame([(m.tolist(), int(t), int(c)) for m, t, c in zip(member, tokens, cap)], "member array<double>, tokens long, cap int")
+    steps = mixing.fit_rates(df, goals.tolist(), steps=100, tolerance=1e-4)
+    rates = np.array([r[0] for r in df.select(mixing.rate_of(steps)).collect()])
+    assert rates.min() >= 0 and (rates <= cap + 1e-12).all()
+    a = (member * tokens[:, None]).T
+    dense = np.zeros(n)
+    step = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(50_000):
+        dense = np.clip(dense - step * (a.T @ (a @ dense - goals)), 0, cap)
+    assert np.abs(a @ rates - goals).max() <= np.abs(a @ dense - goals).max() + 0.01 * goals.sum()
+    assert np.abs(a @ rates - goals).max() <= 0.01 * goals.sum()
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(df, goals.tolist(), steps=1, tolerance=1e-9)
 
 
 # ---- abuse --------------------------------------------------------------------------------------
