@@ -119,3 +119,27 @@ def sitemap_locations(xml: str | Column, prefix: str = "") -> Column:
     """Distinct sorted ``<loc>`` addresses below a prefix, without the prefix page itself."""
     found = F.regexp_extract_all(col(xml), F.lit(r"(?is)<loc>\s*([^<\s]+)\s*</loc>"), 1)
     return F.array_sort(F.array_distinct(F.filter(found, lambda u: u.startswith(prefix) & (F.rtrim(u) != prefix))))
+
+
+# Words of a question that name no topic.
+TOPIC_STOP = "what when which where who how must may does shall should the and for are has have need under with that this its from been before after each every any all own into not can cannot to of in is it do be by or an on at as if long often".split()
+
+
+def topic_terms(question: str | Column) -> Column:
+    """Words of a question between blanks, without signs at their ends, stop words and words below three letters."""
+    bare = F.transform(F.split(F.lower(F.coalesce(col(question), F.lit(""))), " "), lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
+    return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(TOPIC_STOP))
+
+
+def scope_label(heading: str | Column, longest: int = 40) -> Column:
+    """A heading as one line cut at a word, without signs at its ends and with no slash; null for none."""
+    t = squeeze(heading)
+    head = F.substring(t, 1, longest + 1)
+    cut = F.when(F.length(t) <= longest, t).when(head.contains(" "), F.regexp_replace(head, r" [^ ]*$", "")).otherwise(F.substring(t, 1, longest))
+    return F.nullif(F.regexp_replace(F.btrim(cut, F.lit(" ,.;:-")), "/", "-"), F.lit(""))
+
+
+def registry_hash(name: str, value: str) -> Column:
+    """SHA-256 over all names and values of a group in the order of names: an aggregate."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).alias("v"))))
+    return F.sha2(F.array_join(F.transform(each, lambda x: F.concat(x["n"], F.lit("\x01"), x["v"])), "\x02"), 256)

@@ -92,3 +92,64 @@ def references(sections: DataFrame) -> DataFrame:
     rows = sections.where("text IS NOT NULL").select("section_uid", "doc_id", F.explode(found).alias("path"))
     targets = sections.select("doc_id", F.col("section_path").alias("path"), F.col("section_uid").alias("target_uid"))
     return rows.join(targets, ["doc_id", "path"], "left").where(~F.col("target_uid").eqNullSafe(F.col("section_uid"))).select("section_uid", "path", "target_uid")
+
+
+# How a text refers to a numbered paragraph of another document, and what it says of its own times.
+OF_CODE = r"(?i)paragraphs?\s+(\d{1,2}(?:\.\d{1,3}){0,3})[^.]{0,40}?of\s+(?:MAS\s+)?Notice\s+([A-Z0-9\- ]{3,12}?)\b"
+CODE_OF = r"(?i)(?:MAS\s+)?Notice\s+([A-Z0-9\- ]{3,12}?)[,\s]+paragraphs?\s+(\d{1,2}(?:\.\d{1,3}){0,3})\b"
+OF_PARENT = r"(?i)paragraphs?\s+(\d{1,2}(?:\.\d{1,3}){0,3})\s+of\s+the\s+Notice\b"
+AMENDED = r"(?i)([A-Z0-9][A-Za-z0-9 /\-]{1,40}\(Amendment(?:\s+No\.\s*\d+)?\)\s*\d{4})[^.]{0,200}?with effect from\s+(\d{1,2}\s+\w+\s+\d{4})"
+DELETED = r"\[Deleted by ([^\]]{3,80})\]"
+IN_EFFECT = r"(?i)with effect from\s+\d{1,2}\s+\w+\s+\d{4}"
+
+
+def cross_references(sections: DataFrame, codes: DataFrame, parents: DataFrame, of_parent: str = OF_PARENT) -> DataFrame:
+    """section_uid, target_uid, kind: references to a clause of another document that resolve, each once.
+
+    ``sections``: section_uid, doc_id, section_path, text; ``codes``: code, doc_id of the document that
+    carries it; ``parents``: doc_id, parent_id of the document that "the Notice" stands for. Kinds are
+    guideline_to_notice and explicit_citation; of a pair found both ways the first counts."""
+    rows = sections.where("text IS NOT NULL AND section_uid IS NOT NULL").select("section_uid", "doc_id", "text")
+    each = lambda pattern, a, b: F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), a).alias("path"), F.regexp_extract_all("text", F.lit(pattern), b).alias("code")))
+    said = rows.select("section_uid", "doc_id", each(OF_CODE, 1, 2).alias("r")).union(rows.select("section_uid", "doc_id", each(CODE_OF, 2, 1).alias("r")))
+    said = said.select("section_uid", "doc_id", "r.path", F.upper(T.squeeze("r.code")).alias("code")).distinct()
+    named = said.join(codes.select("code", F.col("doc_id").alias("target")), "code").select("section_uid", "doc_id", "path", "target", F.lit("explicit_citation").alias("kind"))
+    own = rows.join(parents.select("doc_id", F.col("parent_id").alias("target")), "doc_id").select("section_uid", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(of_parent), 1))).alias("path"), "target", F.lit("guideline_to_notice").alias("kind"))
+    there = sections.select(F.col("doc_id").alias("target"), F.col("section_path").alias("path"), F.col("section_uid").alias("target_uid"))
+    both = named.unionByName(own).where(F.col("target") != F.col("doc_id")).join(there, ["target", "path"])
+    return both.groupBy("section_uid", "target_uid").agg(F.max("kind").alias("kind"))
+
+
+def time_kind(text: str) -> Column:
+    """The first that a text has of amendment, deleted and effect; null for none."""
+    c = F.col(text)
+    return F.when(c.rlike(AMENDED), "amendment").when(c.rlike(DELETED), "deleted").when(c.rlike(IN_EFFECT), "effect")
+
+
+def scaled_quota(quota: dict[str, int], limit: int) -> dict[str, int]:
+    """A quota scaled to a limit: at least one of each, halves to the even number."""
+    whole = sum(quota.values())
+    return {k: max(1, round(v * limit / whole)) for k, v in quota.items()}
+
+
+def with_top_up(rows: DataFrame, picked: DataFrame, key: str, n: int, order: Column) -> DataFrame:
+    """``picked`` (key) and, while it has fewer than ``n`` rows, further keys of ``rows`` in order."""
+    have = picked.select(key).distinct().withColumn("first", F.lit(0))
+    rest = rows.select(key).distinct().join(have, key, "left_anti").withColumn("o", order).orderBy("o", key).limit(n).select(key).withColumn("first", F.lit(1))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", order, key))  # at most n and those picked
+    return have.unionByName(rest).withColumn("place", place).where(F.col("place") <= n).select(key, "place", (F.col("first") == 1).alias("topped_up"))
+
+
+def aligned_paths(sections: DataFrame, most: int = 3, widest: float = 0.25) -> DataFrame:
+    """section_path, uids, widest, differ: paths that sections of several classes share and that speak alike.
+
+    ``sections``: section_uid, section_path, entity, text. Of each class the section of least uid counts,
+    of the classes the first ``most`` by their section; alike are those whose content words are all within
+    ``widest`` (Jaccard distance). ``differ`` tells whether their first 400 characters do."""
+    one = sections.where("section_path IS NOT NULL AND entity IS NOT NULL AND text IS NOT NULL").groupBy("section_path", "entity").agg(F.min(F.struct("section_uid", T.squeeze("text").alias("text"))).alias("s"))
+    place = F.row_number().over(Window.partitionBy("section_path").orderBy("s.section_uid"))
+    picked = one.withColumn("place", place).where(F.col("place") <= most).select("section_path", "place", "s.section_uid", "s.text", T.content_words("s.text").alias("w"))
+    pairs = picked.alias("x").join(picked.alias("y"), (F.col("x.section_path") == F.col("y.section_path")) & (F.col("x.place") < F.col("y.place")))
+    per = pairs.groupBy(F.col("x.section_path").alias("section_path")).agg(F.round(F.max(1 - T.jaccard(F.col("x.w"), F.col("y.w"))), 4).alias("widest")).where(F.col("widest") <= widest)
+    whole = picked.groupBy("section_path").agg(F.array_join(F.array_sort(F.collect_list("section_uid")), " ").alias("uids"), (F.count_distinct(F.substring("text", 1, 400)) > 1).alias("differ"))
+    return per.join(whole, "section_path")

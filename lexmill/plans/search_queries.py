@@ -41,13 +41,15 @@ def _body(sections: DataFrame):
     return F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("text", F.lit("")))
 
 
-def _units(sections: DataFrame, terms=T.tokens) -> DataFrame:
-    return sections.select(F.col("section_uid").alias("uid"), terms(_body(sections)).alias("terms"))
+def _units(spark: SparkSession, sf_dir: str, terms=T.tokens) -> DataFrame:
+    """All rows of the sections with their terms: the search itself picks the newest, by narrow rows."""
+    sections = read_table(spark, sf_dir, "sections")
+    return sections.select(F.col("section_uid").alias("uid"), "made_at", terms(_body(sections)).alias("terms"))
 
 
 def _arm(spark: SparkSession, sf_dir: str, k: int, terms=T.tokens) -> DataFrame:
     asked = questions(spark, sf_dir).select("query_id", terms("text").alias("terms"))
-    return lexical.bm25(_units(live_sections(spark, sf_dir), terms), asked, k)
+    return lexical.bm25(_units(spark, sf_dir, terms), asked, k, at="made_at")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decomposed_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = fusion.sub_questions(questions(spark, sf_dir)).select(F.concat_ws("|", "query_id", "part").alias("query_id"), T.tokens("text").alias("terms"))
-    ranked = lexical.bm25(_units(live_sections(spark, sf_dir)), parts, fusion.POOL)
+    ranked = lexical.bm25(_units(spark, sf_dir), parts, fusion.POOL, at="made_at")
     split = ranked.select(F.split_part("query_id", F.lit("|"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("|"), F.lit(2)).cast("int").alias("part"), "uid", "rank")
     return fusion.fuse_parts(split, K)
 
