@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.ordered import in_slices, running
+
 # Substrings by which a text says that the material does not answer.
 REFUSAL_MARKERS = (
     "does not contain", "does not address", "does not cover", "do not contain", "do not address", "does not answer",
@@ -58,13 +60,12 @@ def ranked_values(rows: DataFrame, keys: list[str], value: str, quantiles: dict[
 def first_ceiling(events: DataFrame, key: str, order: list[str], limits: dict[str, tuple[str, float]]) -> DataFrame:
     """key, ceiling, at, steps: the first limit a run reaches, in the order the limits are named.
 
-    ``limits``: name -> (numeric column, limit); running sums per run decide. Null amounts add 0; a
-    run that reaches none has a null ceiling."""
-    running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.where(F.col(key).isNotNull()).withColumn("step", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    for name, (column, _) in limits.items():
-        rows = rows.withColumn(f"sum_{name}", F.round(F.sum(F.coalesce(F.col(column).cast("double"), F.lit(0.0))).over(running), 6))
-    hit = F.coalesce(*[F.when(F.col(f"sum_{name}") >= limit, F.lit(name)) for name, (_, limit) in limits.items()])
+    ``limits``: name -> (numeric column, limit); running sums per run decide, in slices, so that a run of
+    any length is spread over the tasks. Null amounts add 0; a run that reaches none has a null ceiling."""
+    rows = in_slices(events.where(F.col(key).isNotNull()), [key], order, "ceilings")
+    rows = running(rows, [key], order, {"step": F.lit(1)} | {f"sum_{name}": F.col(column) for name, (column, _) in limits.items()})
+    rows = rows.withColumn("step", F.col("step").cast("int"))
+    hit = F.coalesce(*[F.when(F.round(f"sum_{name}", 6) >= limit, F.lit(name)) for name, (_, limit) in limits.items()])
     per = rows.withColumn("hit", hit).groupBy(key).agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("step"))).alias("ceiling"), F.min(F.when(F.col("hit").isNotNull(), F.col("step"))).alias("at"), F.max("step").alias("steps"))
     return per
 
@@ -102,9 +103,13 @@ def cited_pairs(rows: DataFrame, key: list[str], text: str, reach: int = 140) ->
             out = []
             for t in batch:
                 spots = [(m.start(), m.end(), m.group()) for m in numbers.finditer(t or "")]
-                found = []
+                found, k = [], 0
                 for m in ids.finditer(t or ""):
-                    near = [(max(a - m.end(), m.start() - b), a, n) for a, b, n in spots if max(a - m.end(), m.start() - b) <= reach]
+                    while k < len(spots) and spots[k][0] < m.start():
+                        k += 1
+                    # Spots lie in order and apart, so only the neighbours on either side can be nearest.
+                    near = [(max(a - m.end(), m.start() - b), a, n) for a, b, n in spots[max(0, k - 1) : k + 1]]
+                    near = [x for x in near if x[0] <= reach]
                     found.append({"doc_id": m.group(), "path": min(near)[2] if near else None})
                 out.append(found)
             yield pd.Series(out)

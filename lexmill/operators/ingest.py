@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.ordered import in_slices, running
 
 NUMBER = r"^(\d{1,2}(?:\.\d{1,3}){0,3})\.?$"
 HEADER = r"^(\d{1,2}(?:\.\d{1,3}){0,3})\.?\s+(\S.*)$"
@@ -53,9 +54,10 @@ def sectionise(items: DataFrame) -> DataFrame:
     title = F.when(F.col("kind") == "header", F.when(number.isNotNull(), F.nullif(F.regexp_extract("t", HEADER, 2), F.lit(""))).otherwise(F.col("t")))
     rows = rows.withColumn("number", number).withColumn("title", title)
     opens = F.col("number").isNotNull() | (F.col("kind") == "header")
-    order = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("opens", opens).withColumn("section", F.sum(opens.cast("int")).over(order))
-    rows = rows.withColumn("scope", F.last(F.when((F.col("kind") == "header") & F.col("number").isNull(), F.substring("t", 1, 40)), ignorenulls=True).over(order))
+    # Clauses are numbered by a running sum in slices, so that a document of any length is spread over the tasks.
+    rows = in_slices(rows.withColumn("opens", opens), ["doc_id"], ["item"], "clauses")
+    named = F.when((F.col("kind") == "header") & F.col("number").isNull(), F.substring("t", 1, 40))
+    rows = running(rows.drop("scope", "section"), ["doc_id"], ["item"], {"section": F.col("opens").cast("int")}, {"scope": named}).withColumn("section", F.col("section").cast("long"))
     body = F.when(~F.col("opens"), F.col("t")).when((F.col("kind") == "list"), F.regexp_extract("t", HEADER, 2))
     parts = F.transform(F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("item", body.alias("b"))))), lambda p: p["b"])
     return rows.groupBy("doc_id", "section").agg(

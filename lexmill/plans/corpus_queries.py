@@ -181,6 +181,8 @@ SQL = {
     "path_dedupe": f"""WITH {_SEC}, p AS (SELECT section_uid, doc_id, ordinal, regexp_extract(section_path, '([^/]*)$', 1) AS path, nullif(regexp_extract(section_path, '^(.*)/[^/]*$', 1), '') AS scope FROM sec WHERE section_path IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY ordinal) AS nth FROM p), r AS (SELECT section_uid, row_number() OVER (PARTITION BY doc_id, scope, path ORDER BY ordinal) AS k FROM n WHERE nth > 1 AND scope IS NOT NULL)
 SELECT section_uid, path, scope, CASE WHEN nth = 1 THEN path WHEN k = 1 THEN scope || '/' || path ELSE path || '#' || ordinal END AS unique_path FROM n LEFT JOIN r USING (section_uid)""",
+    "clauses_from_items": f"""WITH {_SEC} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, section_uid) AS pos, regexp_extract(section_path, '([^/]*)$', 1) AS path, trim(regexp_replace(coalesce(heading, 'clause'), '\\s+', ' ', 'g')) AS heading,
+sha256(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10))) AS text_sha FROM sec WHERE section_path IS NOT NULL AND doc_id IS NOT NULL""",
     "section_spine": f"""WITH {_SEC}, s AS (SELECT section_uid, doc_id, ordinal, concat_ws(' ', section_path, heading) AS label FROM sec WHERE doc_id IS NOT NULL AND ordinal IS NOT NULL)
 SELECT a.section_uid, string_agg(b.label, ' | ' ORDER BY b.ordinal, b.label) AS spine FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.ordinal BETWEEN greatest(0, a.ordinal - 2) AND greatest(0, a.ordinal - 2) + 4 GROUP BY 1""",
     "section_tree": f"""WITH {_SEC}, s AS (SELECT section_uid, doc_id, section_path, string_split(section_path, '.') AS parts FROM sec WHERE section_path IS NOT NULL),

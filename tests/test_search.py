@@ -139,3 +139,59 @@ def test_dense_search_in_blocks_equals_brute_force(spark, monkeypatch):
     near = {r["query_id"]: r["near"] for r in vector.near_groups(df, queries, 0.8, 50).collect()}
     for q in rows[:60:20]:
         assert near[q[0]] == len({g for u, g, v in full if g != q[1] and round(d(q[2], v), 9) <= 0.8})
+
+
+def test_indexed_search_against_the_exact_one(spark):
+    """Vectors with structure: few cells hold nearly all neighbours; every row is in a cell."""
+    import numpy as np
+
+    from lexmill.operators import vector
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, i % 40, (centres[i % 40] + 0.25 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    rows += [(9001, 1, None), (9002, 1, []), (9003, 1, [0.0] * 16), (9004, 1, [1.0])]
+    corpus = spark.createDataFrame(rows, "uid long, grp int, vec array<double>").repartition(4)
+    queries = corpus.where("uid % 20 = 0").withColumnRenamed("uid", "query_id")
+    exact = {tuple(r) for r in vector.dense_top(corpus, queries, 10, roll_up=False).select("query_id", "uid").collect()}
+    found = {tuple(r) for r in vector.dense_top(corpus, queries, 10, roll_up=False, index=(40, 4)).select("query_id", "uid").collect()}
+    assert len(exact) == 1500 and len(exact & found) >= 0.9 * len(exact)
+    whole = {tuple(r) for r in vector.dense_top(corpus, queries, 10, roll_up=False, index=(40, 40)).select("query_id", "uid").collect()}
+    assert whole == exact
+    grouped = vector.dense_top(corpus, queries, 3, roll_up=True).collect()
+    assert grouped == vector.dense_top(corpus, queries, 3, roll_up=True, index=(40, 40)).collect()
+    assert vector.dense_top(corpus.limit(0), queries, 3, roll_up=False, index=(4, 1)).count() == 0
+
+
+def test_bm25_picks_the_newest_row(spark):
+    import datetime as dt
+
+    from lexmill.operators import lexical
+
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    rows = [("a", ["red", "fox"], t0), ("a", ["blue", "fox", "fox"], t1), ("a", ["blue", "fox", "fox"], t1), ("b", ["red", "red"], t0), ("c", None, t0), (None, ["red"], t0), ("d", [], t0), ("e", ["fox"], None)]
+    units = spark.createDataFrame(rows, "uid string, terms array<string>, made_at timestamp_ntz")
+    asked = spark.createDataFrame([("q", ["red", "fox", "fox"]), ("r", ["blue"]), ("n", None), ("z", [])], "query_id string, terms array<string>")
+    live = spark.createDataFrame([("a", ["blue", "fox", "fox"]), ("b", ["red", "red"]), ("d", []), ("e", ["fox"])], "uid string, terms array<string>")
+    want = sorted(map(tuple, lexical.bm25(live, asked, 9).collect()))
+    assert sorted(map(tuple, lexical.bm25(units, asked, 9, at="made_at").collect())) == want and len(want) == 4
+
+
+def test_running_sums_in_slices(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lexmill.operators.ordered import in_slices, running
+
+    random.seed(1)
+    rows = [(random.choice("aaaaab"), i, random.choice([1.0, 2.5, None]), random.choice([None, None, f"v{i}"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, x double, v string").repartition(5)
+    got = {r["i"]: (r["total"], r["last"]) for r in running(in_slices(df, ["k"], ["i"], "t"), ["k"], ["i"], {"total": F.col("x")}, {"last": F.col("v")}).collect()}
+    for key in "ab":
+        total, last = 0.0, None
+        for k, i, x, v in rows:
+            if k == key:
+                total, last = total + (x or 0.0), v or last
+                assert got[i] == (total, last)
+    assert running(in_slices(df.limit(0), ["k"], ["i"], "t"), ["k"], ["i"], {"total": F.col("x")}).count() == 0
