@@ -65,21 +65,27 @@ class CutIndex:
         left, right = int(self.table[j][low]), int(self.table[j][high - (1 << j)])
         return left if self.strengths[left] > self.strengths[right] else right
 
-    def choose(self, start: int, after: int, limit: int) -> tuple[int, int, int]:
+    def choose(self, start: int, after: int, limit: int, least: int = 0) -> tuple[int, int, int]:
         """(end, next start, strength) of the cut for a piece from ``start`` of at most ``limit``.
 
-        The cut lies beyond ``after``; with no white space in the window the word is divided."""
-        low = int(np.searchsorted(self.ends, after, "right"))
+        The cut lies beyond ``after`` and, where the window of lengths from ``least`` on holds any, there;
+        with no white space up to the limit the word is divided."""
+        low = int(np.searchsorted(self.ends, max(after, start + least - 1), "right"))
         high = int(np.searchsorted(self.ends, start + limit, "right"))
+        if low >= high:
+            low = int(np.searchsorted(self.ends, after, "right"))
         if low >= high:
             return start + limit, start + limit, NONE
         cut = self.strongest(low, high)
         return int(self.ends[cut]), int(self.starts[cut]), int(self.strengths[cut])
 
 
-def split_text(text: str | None, limit: int = 1200, overlap: int = 150) -> list[tuple[str, int, int, int, int]]:
+def split_text(text: str | None, limit: int = 1200, overlap: int = 150, least: int | None = None) -> list[tuple[str, int, int, int, int]]:
     """Pieces (text, ordinal, start, end, strength of the cut at the end) of at most ``limit``.
 
+    The strongest cut among those that leave ``least`` characters or more (by default a quarter of the
+    limit) is taken, so that a heading makes no piece of its own; where there is none, any cut is.
+
     ``end`` of a piece is where its own new content ends; each piece but the first opens with up
     to ``overlap`` characters of its predecessor, from a word start where there is one. Null or
     blank text has no piece. A text within the limit is one piece, trimmed."""
@@ -94,10 +100,11 @@ def split_text(text: str | None, limit: int = 1200, overlap: int = 150) -> list[
     if stop - begin <= limit:
         return [(text[begin:stop], 0, begin, stop, PARAGRAPH)]
     index = CutIndex(text)
+    least = limit // 4 if least is None else least
     pieces: list[tuple[str, int, int, int, int]] = []
     start = fresh = begin
     while stop - start > limit:
-        end, following, strength = index.choose(start, fresh, limit)
+        end, following, strength = index.choose(start, fresh, limit, least)
         pieces.append((text[start:end], len(pieces), start, end, strength))
         back = max(end - overlap, start + 1)
         if overlap:
@@ -114,23 +121,14 @@ def split_text(text: str | None, limit: int = 1200, overlap: int = 150) -> list[
 
 
 def weakest_cut(text: str | None, limit: int = 1200) -> int | None:
-    """The weakest strength that cutting without overlap needs, or None within the limit.
-
-    The walk takes the strongest, rightmost cut of each window. As long as every paragraph fits it
-    meets only paragraph cuts, else only sentence cuts as long as every sentence fits, and so on:
-    the minimum over its cuts names the finest kind of part that must be used."""
-    if text is None:
-        return None
-    start, stop = len(text) - len(text.lstrip(EDGE)), len(text.rstrip(EDGE))
-    if stop - start <= limit:
-        return None
-    index, weakest = CutIndex(text), PARAGRAPH
-    while stop - start > limit:
-        _, start, strength = index.choose(start, start, limit)
-        weakest = min(weakest, strength)
-        if weakest == NONE:
-            break
-    return weakest
+    """The weakest strength that splitting without overlap and without a least length needs, or None
+    within the limit.
+
+    Each piece ends at the strongest, rightmost cut of its window. As long as every paragraph fits these
+    are paragraph cuts, else only sentence cuts as long as every sentence fits, and so on: the minimum
+    over the cuts names the finest kind of part that must be used."""
+    pieces = split_text(text, limit, overlap=0, least=0)
+    return min(p[4] for p in pieces[:-1]) if len(pieces) > 1 else None
 
 
 def split_oversized(df: DataFrame, text: str = "text", limit: int = 1200, overlap: int = 150) -> DataFrame:

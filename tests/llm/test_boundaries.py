@@ -78,3 +78,12 @@ def test_ordinals(spark):
     rows = [("a#0", "a", 0), ("a#1", "a", 1), ("b#0", "b", 0), ("b#2", "b", 2), ("c#1", "c", 1), ("d#0", "d", None), ("e#0", "e", 0), ("e#0", "e", 0), ("f#0", "f", 0), ("f#x", "f", 0)]
     df = spark.createDataFrame([(c, u, o, T0) for c, u, o in rows], "chunk_id string, section_uid string, ordinal int, made_at timestamp_ntz")
     assert sorted(r["unit_id"] for r in B.ordinal_findings(df).collect()) == ["b", "c", "d", "f"]
+
+
+def test_a_heading_is_no_piece_of_its_own():
+    text = "Heading\n\n" + "A duty of some length is stated here. " * 60
+    pieces = B.split_text(text)
+    assert all(len(p[0]) >= 300 for p in pieces[:-1]) and pieces[0][0].startswith("Heading\n\nA duty")
+    # Where no cut leaves the least length, the strongest of the others is taken before a word is divided.
+    assert B.split_text("ab\n\n" + "x" * 1300, 1200, 0)[0][0] == "ab"
+    assert B.weakest_cut("A heading\n\n" + "A duty. " * 149) == B.PARAGRAPH
