@@ -64,6 +64,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Drop staged tables that nothing reads any more, such as those an already staged one was made from."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            drop(table.sparkSession, [files[0].rsplit("/", 1)[0]])
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 

@@ -55,3 +55,10 @@ def test_staged_tables_are_dropped_with_their_scope(spark):
         path = table.inputFiles()[0].removeprefix("file://")
         assert table.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+    from lexmill.plans.stage import release
+
+    first = stage(spark.range(5), "first")
+    second = stage(first.selectExpr("id + 1 AS id"), "second")
+    path = first.inputFiles()[0].removeprefix("file://")
+    release(first, stage(spark.range(0), "none"))
+    assert not os.path.exists(path) and second.count() == 5
