@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.plans.stage import broadcast_if_small, stage
+from lexmill.plans.stage import broadcast_if_small, release, stage
 from lexmill.sources.tables import live_rows
 
 GEAR, NEAR, REACH = 16, 8, 64
@@ -165,17 +165,18 @@ def _shared_chunks(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     members = stage(live_rows(named, ["key"], "at", ["grp", "t1", "t2", "chars"]), "spans-members")
     # Superseded texts are cut too, and fall out where shared chunks meet the live texts.
     chunks = rows.select("text").where(F.length("text") >= least).mapInArrow(cut, "digest long, t1 long, place long")
-    # Half of a text's digest tells two texts apart; the halves are aggregated where they are cut.
-    half = F.col("t1").bitwiseAND(0xFFFFFFFF)
+    # A part of a text's digest tells two texts apart; the parts are aggregated where texts are cut.
+    half = F.col("t1").bitwiseAND(0x7FFFFFFF).cast("int")
     ends = chunks.groupBy("digest").agg(F.min(half).alias("low"), F.max(half).alias("high"))
     several = stage(ends.where("low < high").select("digest"), "spans-several")
     shared = chunks.join(broadcast_if_small(several, DIGESTS), "digest", "left_semi").join(members.select("t1").distinct(), "t1", "left_semi")
     shared = shared.groupBy("digest", "t1", F.shiftright("place", 32).cast("int").alias("start")).agg(F.min(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("cut"))
     before = Window.partitionBy("t1").orderBy("start")
     # The digest of the chunk that starts at the cut-point just before, if that one is shared too.
-    shared = shared.select("digest", "t1", "start", F.when(F.lag("cut").over(before) == F.col("cut") - 1, F.lag("digest").over(before)).alias("ahead"))
+    shared = stage(shared.select("digest", "t1", "start", F.when(F.lag("cut").over(before) == F.col("cut") - 1, F.lag("digest").over(before)).alias("ahead")), "spans-chunks")
+    release(several)
     texts = rows.select("text").where(F.length("text") >= least).mapInArrow(plain, "t1 long, t2 long, text string")
-    return members, stage(shared, "spans-chunks"), texts
+    return members, shared, texts
 
 
 def _windows_around(shared: DataFrame, hot: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -185,14 +186,17 @@ def _windows_around(shared: DataFrame, hot: DataFrame, texts: DataFrame, least:
     wide = spots.join(texts.dropDuplicates(["t1", "t2"]), "t1").select("t1", "starts", "text").mapInArrow(lambda it: _windows(it, least), "digest long, t1 long, start int, ahead long")
     wide = stage(wide, "spans-wide")
     several = wide.groupBy("digest").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low < high").select("digest")
-    return wide.join(several, "digest", "left_semi")
+    return wide.join(several, "digest", "left_semi")  # few of many
 
 
-def _measured(pairs: DataFrame, members: DataFrame, long: DataFrame, least: int) -> DataFrame:
-    """a1, a2, b1, b2, a_from, b_from, chars: the spans around the places at which texts are paired."""
+def _measured(pairs: DataFrame, members: DataFrame, long: DataFrame, least: int, used: list[DataFrame] = []) -> DataFrame:
+    """a1, a2, b1, b2, a_from, b_from, chars: the spans around the places at which texts are paired.
+
+    ``used``: staged tables that only the pairs are made from; they are dropped once these are written."""
     # One row for each pair and offset between the two texts, with the places to measure around.
     anchors = pairs.groupBy("a1", "b1", (F.col("a_at") - F.col("b_at")).alias("shift")).agg(F.collect_set("a_at").alias("at"))
     anchors = stage(anchors, "spans-anchors")
+    release(*used)
     involved = anchors.select(F.col("a1").alias("t1")).union(anchors.select(F.col("b1").alias("t1"))).distinct()
     involved = involved.join(members, "t1", "left_semi")
     texts = stage(long.join(involved, "t1", "left_semi").dropDuplicates(["t1", "t2"]), "spans-texts")
@@ -234,13 +238,15 @@ def shared_spans(records: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     involves are compared, after one shuffle."""
     members, shared, long = _shared_chunks(records, least)
     hot = _counted(shared, HOT)
+    used = [shared, hot]
     pairs = _joined(shared.join(hot, "digest", "left_anti").select("digest", "t1", "start", "ahead"))
     if hot.limit(1).count():
-        wide = _windows_around(shared, hot, long, least)
+        wide = stage(_windows_around(shared, hot, long, least), "spans-windows")
+        used.append(wide)
         # A window that all its texts have with the same one before it is paired there.
         first = wide.groupBy("digest").agg(F.min("ahead").alias("low"), F.max("ahead").alias("high"), F.count_if(F.col("ahead").isNull()).alias("n")).where("low < high OR n > 0").select("digest")
         pairs = pairs.unionByName(_joined(wide.join(first, "digest", "left_semi")))
-    return members, _measured(pairs, members, long, least)
+    return members, _measured(pairs, members, long, least, used)
 
 
 def _joined(shared: DataFrame) -> DataFrame:

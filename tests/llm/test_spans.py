@@ -149,11 +149,15 @@ def test_one_boilerplate_in_many_texts_costs_rows_in_proportion(spark, monkeypat
     n, rows = 20_000, []
     random.seed(1)
     phrase = "".join(random.choices("abcdefgh ", k=160)).strip()
-    made = []
-    keep = S.stage
-    monkeypatch.setattr(S, "stage", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    sizes, keep = {}, S.stage
+
+    def spy(df, name):
+        table = keep(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(S, "stage", spy)
     rows = [(f"r{i}", None, T0, f"{i * 7919 % 104729:06d} start of it # {phrase} # end of it {i * 104729 % 7919:06d}") for i in range(n)]
     got = S.shared_share(spark.createDataFrame(rows, SCHEMA)).groupBy("shared_chars").count().collect()
-    sizes = {name: df.count() for name, df in made}
     assert all(r["shared_chars"] >= len(phrase) for r in got) and sum(r["count"] for r in got) == n
     assert sizes["spans-anchors"] == 0 and sizes["spans-wide"] <= 400 * n
