@@ -118,6 +118,11 @@ def streamed_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run_available(spark, f"{sf_dir}/events.parquet", stream.spend_windows, "spend")
 
 
+def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions minted by a stream that reads the whole manifest once: one for each new content of a document."""
+    return stream.run_available(spark, f"{sf_dir}/manifest.parquet", stream.new_versions, "versions", "append").select("doc_id", "sha256")
+
+
 def findings_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each kind after a user's last error, which clears what came before."""
     return agentlog.last_findings(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id", F.col("event_type") == "error")
@@ -142,7 +147,7 @@ def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupingSets([["r_name", "n_name"], ["r_name"], []], "r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"))
 
 
-QUERIES = [agent_scorecard, abstention_rates, stop_reasons, refusal_markers, percentiles_four_ways, citation_resolution, gold_citations, run_diff, reader_agreement, cited_pairs, budget_ceiling, spend_rollup, streamed_spend, findings_reducer, trace_sample, pricing_summary, nation_revenue]
+QUERIES = [agent_scorecard, abstention_rates, stop_reasons, refusal_markers, percentiles_four_ways, citation_resolution, gold_citations, run_diff, reader_agreement, cited_pairs, budget_ceiling, spend_rollup, streamed_spend, streamed_versions, findings_reducer, trace_sample, pricing_summary, nation_revenue]
 
 # ---- the same in SQL ----------------------------------------------------------------------------
 
@@ -173,6 +178,7 @@ h AS (SELECT user_id, step, CASE WHEN step >= 40 THEN 'steps' WHEN seconds >= 60
 SELECT user_id, arg_min(hit, step) FILTER (hit IS NOT NULL) AS ceiling, min(step) FILTER (hit IS NOT NULL) AS at, max(step) AS steps FROM h GROUP BY 1""",
     "spend_rollup": f"WITH {_EV}, m AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM ev) SELECT event_type, month, count(*) AS steps, round(sum(coalesce(value, 0)), 2) AS seconds, sum(coalesce(tokens, 0))::BIGINT AS tokens FROM m GROUP BY ROLLUP (event_type, month)",
     "streamed_spend": f"WITH {_EV} SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS steps, round(sum(coalesce(value, 0)), 2) AS seconds, sum(coalesce(tokens, 0))::BIGINT AS tokens FROM ev GROUP BY 1, 2",
+    "streamed_versions": "SELECT DISTINCT doc_id, sha256 FROM manifest WHERE doc_id IS NOT NULL AND sha256 IS NOT NULL",
     "findings_reducer": "WITH c AS (SELECT user_id, max(event_id) AS cleared FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, event_type, max(event_id) AS event_id FROM events LEFT JOIN c USING (user_id) WHERE event_type <> 'error' AND user_id IS NOT NULL AND (cleared IS NULL OR event_id > cleared) GROUP BY 1, 2",
     "trace_sample": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE ('0x' || substr(sha256(event_id::VARCHAR), 1, 4))::INT < 6554 OR event_type = 'error' GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS mean_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

@@ -231,6 +231,16 @@ qw AS (SELECT query_id, list_filter(list_distinct(regexp_extract_all(lower(coale
 s AS (SELECT query_id, uid, rank AS base, CASE WHEN rank <= 50 THEN round(CASE WHEN len(sw) = 0 OR len(qw) = 0 THEN 0 ELSE len(list_intersect(sw, qw)) / len(list_distinct(list_concat(sw, qw))) END, 9) END AS s FROM p JOIN w USING (uid) JOIN qw USING (query_id)),
 f AS (SELECT query_id, uid, round(CASE WHEN base <= 50 THEN s ELSE min(s) OVER (PARTITION BY query_id) - base END, 9) AS score FROM s)
 SELECT query_id, uid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank FROM f QUALIFY rank <= 60""",
+    "context_budget": f"""WITH RECURSIVE {_BASE}, {_bm25_sql('p', context.TOP)},
+hits AS (SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY rank, uid) AS k, coalesce(concat_ws(' · clause ', heading, section_path), uid) AS label, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM p JOIN sec USING (uid) WHERE text IS NOT NULL),
+f AS (SELECT DISTINCT query_id, 0::BIGINT AS k, '' AS text, []::VARCHAR[] AS cited, 0::BIGINT AS used, 0 AS truncated, 0 AS dropped FROM hits
+  UNION ALL SELECT query_id, k, CASE WHEN shut THEN text ELSE text || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) END || block END, CASE WHEN shut THEN cited ELSE list_append(cited, uid) END, CASE WHEN shut THEN used ELSE used + length(block) + 2 END,
+    CASE WHEN shut OR NOT over THEN truncated ELSE truncated + 1 END, CASE WHEN shut THEN dropped + 1 ELSE dropped END
+  FROM (SELECT *, head || CASE WHEN over THEN CASE WHEN contains(part, ' ') THEN regexp_replace(part, ' [^ ]*$', '') ELSE part END || '{context.CUT}' ELSE body END AS block
+    FROM (SELECT *, dropped > 0 OR room <= {context.ROOM} AS shut, length(body) > room AS over, substr(body, 1, room) AS part
+      FROM (SELECT f.query_id, h.k, f.text, cited, used, truncated, dropped, uid, body, '[' || h.k || '] ' || label || ' (' || uid || ')' || chr(10) AS head, least({int(context.BUDGET * context.SHARE)}, {context.BUDGET} - used - length('[' || h.k || '] ' || label || ' (' || uid || ')' || chr(10))) AS room
+        FROM f JOIN hits h ON h.query_id = f.query_id AND h.k = f.k + 1))))
+SELECT query_id, text, cited, length(text) AS chars, truncated, dropped FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1""",
     "decomposed_rrf": f"""WITH {_BASE},
 c AS (SELECT query_id, text, list_filter(list_transform(string_split_regex(text, '\\s+and\\s+|[,;]\\s*'), lambda x: trim(x)), lambda x: length(x) >= 15 AND x <> trim(text)) AS parts FROM q WHERE text IS NOT NULL),
 parts AS (SELECT query_id, unnest(range(0, len(l))) AS part, unnest(l) AS text FROM (SELECT query_id, list_concat([text], parts[1:3]) AS l FROM c)),
