@@ -406,7 +406,7 @@ def _end_costs(a: str, b: str, state: State) -> tuple[float, float]:
     if not a.strip() or not b.strip():
         return 0.0, 8.0
     ended = a.rstrip()[-1] in ".;:?!\"”"
-    short = len(a) + 1 + len(b.split()[0]) <= width
+    short = len(a) + 1 + len(b.split()[0]) <= 0.92 * width  # the next word had room, ragged lines aside
     label = bool(_LABEL.match(b))
     cut = (0.0 if ended else 4.0) + (0.0 if short else 2.0) + (0.0 if label or b[:1].isupper() else 4.0)
     join = (3.0 if ended and short else 0.5) + (4.0 if label and ended else 0.0)

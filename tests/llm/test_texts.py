@@ -384,3 +384,48 @@ def test_paragraphs_are_a_programme_and_no_greedy_choice():
             greedy = min(((*greedy, c) for c in [None, *widths] if k or c is not None), key=lambda g: paragraph_cost(lines, g))
         differ += paragraph_cost(lines, greedy) > best + 1e-9
     assert differ > 0
+
+
+def test_repair_undoes_planted_noise():
+    """Clean clauses, wrapped, divided, misread and interrupted by pages: what repair restores of them."""
+    import collections
+    import textwrap
+
+    random.seed(12)
+    syllables = "ba con ment re tion ser port ed ing fin an ce ta ble sub ject cap it al or der re port mar gin".split()
+    vocabulary = sorted({"".join(random.choices(syllables, k=random.randint(2, 4))) for _ in range(400)})
+    sentence = lambda: (" ".join(random.choices(vocabulary, k=random.randint(6, 14))) + ".").capitalize()
+    clean = [["  ".join([sentence() for _ in range(random.randint(2, 4))]).replace("  ", " ") for _ in range(random.randint(1, 3))] for _ in range(400)]
+    counts = collections.Counter(w for c in clean for w in {x.strip(".").lower() for p in c for x in p.split()})
+    undo = [pair.split("=") for pair in "rn=m cl=d f=t c=e ii=u 0=o 1=l 5=s".split()]
+    noisy, planted = [], 0
+    for c in clean[:120]:
+        parts = []
+        for p in c:
+            words = p.split()
+            for i, w in enumerate(words):
+                if len(w) > 5 and w.islower() and random.random() < 0.05:
+                    seen, true = random.choice(undo)
+                    if true in w:
+                        words[i], planted = w.replace(true, seen, 1), planted + 1
+            lines = textwrap.wrap(" ".join(words), 60)
+            for k in range(len(lines) - 1):
+                head, _, rest = lines[k + 1].partition(" ")
+                if len(head) > 6 and head.isalpha() and head.islower() and random.random() < 0.5:
+                    lines[k], lines[k + 1] = f"{lines[k]} {head[:3]}-", f"{head[3:]} {rest}"
+                    planted += 1
+            if len(lines) > 3:
+                lines.insert(2, random.choice(["- 12 -", "Page 3 of 9", "Harbour Monetary Board  |  guidelines   p. 3"]))
+                planted += 1
+            parts.append("\n".join(lines))
+        noisy.append("\n\n".join(parts))
+    lexicon = scans.Lexicon(dict(counts), 400)
+    names = ["Harbour Monetary Board", "Prepaid Guidelines 255", "guidelines"]
+    right = wrong = whole = 0
+    for c, text in zip(clean, noisy):
+        got, n = scans.repair(text, names, lexicon)
+        want = "\n\n".join(c)
+        whole += n == len(c)
+        a, b = collections.Counter(want.split()), collections.Counter(got.split())
+        right, wrong = right + sum((a & b).values()), wrong + sum(((a - b) | (b - a)).values())
+    assert planted > 300 and right / (right + wrong) > 0.99 and whole / len(noisy) > 0.9, (planted, right, wrong, whole)
