@@ -273,7 +273,24 @@ def scaled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.task_quota(rows.where("status = 'machine_verified'"), golden.scaled_quota(golden.TASK_QUOTA, 10)).select("id", "query_type", "place")
 
 
-QUERIES = [item_status, reverify, agent_gate, citation_markers, reference_violations, abstention_rule, documents_read, judged_agreement, judge_summary, useful_answers, generation_summary, verdict_flips, displacement_tally, embedding_arms, replaced_arm, packed_chunks, outline, section_edges, scope_labels, clean_sections, entity_classes, topic_terms, content_hashes, manifest_jsonl, title_twins, cross_references, temporal_kinds, comparable_clauses, factual_selection, scaled_tasks]
+def gold_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search limited to notices and guidelines in force from 2023 on would lose gold documents."""
+    gold = S.items(spark, sf_dir).select("id", "query_type", F.explode("gold_spans").alias("g")).select("id", "query_type", "g.doc_id").distinct()
+    docs = live_rows(read_table(spark, sf_dir, "manifest"), ["doc_id"], "fetched_at", ["doc_type", "effective_date"])
+    kept = F.coalesce(F.col("doc_type").isin("notices", "guidelines") & (F.col("effective_date") >= F.lit("2023-01-01").cast("date")), F.lit(False))
+    per = gold.join(docs.select("doc_id", kept.alias("kept")), "doc_id", "left").groupBy("id", "query_type").agg(F.count("*").alias("gold"), F.count_if(F.coalesce("kept", F.lit(False))).alias("kept"))
+    return per.groupBy("query_type").agg(F.count("*").alias("items"), F.count_if(F.col("kept") == 0).alias("all_lost"), F.count_if((F.col("kept") > 0) & (F.col("kept") < F.col("gold"))).alias("some_lost"))
+
+
+def salvaged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of events found again in chatter around them, and their sums by kind."""
+    rows = read_table(spark, sf_dir, "events").select("event_type", "props", F.concat(F.lit("Sure {here it is}:\n```json\n"), "props", F.lit("\n``` {done}")).alias("said"))
+    found = rows.withColumn("found", jsonl.first_object("said"))
+    value = F.get_json_object("found", "$.k").cast("double")
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.count("found").alias("found"), F.sum(value).cast("long").alias("k"))
+
+
+QUERIES = [item_status, reverify, agent_gate, citation_markers, reference_violations, abstention_rule, documents_read, judged_agreement, judge_summary, useful_answers, generation_summary, verdict_flips, displacement_tally, embedding_arms, replaced_arm, packed_chunks, outline, section_edges, scope_labels, clean_sections, entity_classes, topic_terms, content_hashes, manifest_jsonl, title_twins, cross_references, temporal_kinds, comparable_clauses, factual_selection, scaled_tasks, gold_exclusion, salvaged_json]
 
 # ---- the same in SQL ----------------------------------------------------------------------------
 
@@ -362,5 +379,9 @@ SELECT section_path, widest, uids, differ FROM p JOIN (SELECT section_path, stri
     "factual_selection": """WITH r AS (SELECT *, sha256('42' || candidate_id) AS o FROM candidates WHERE candidate_id IS NOT NULL AND query_type IS NOT NULL AND band IS NOT NULL),
 t AS (SELECT *, row_number() OVER (PARTITION BY band, query_type ORDER BY o, candidate_id) AS turn FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY turn, query_type, candidate_id) AS k FROM t QUALIFY k <= 10),
 a AS (SELECT DISTINCT candidate_id, o, candidate_id NOT IN (SELECT candidate_id FROM p) AS topped_up FROM r) SELECT candidate_id, row_number() OVER (ORDER BY topped_up, o, candidate_id) AS place, topped_up FROM a QUALIFY place <= 45""",
+    "gold_exclusion": f"""WITH {_ITEMS}, {_MAN}, g AS (SELECT DISTINCT id, query_type, g.doc_id AS doc_id FROM (SELECT id, query_type, unnest(gold_spans) AS g FROM it)),
+p AS (SELECT id, query_type, count(*) AS gold, count(*) FILTER (coalesce(doc_type IN ('notices', 'guidelines') AND effective_date >= DATE '2023-01-01', false)) AS kept FROM g LEFT JOIN man USING (doc_id) GROUP BY 1, 2)
+SELECT query_type, count(*) AS items, count(*) FILTER (kept = 0) AS all_lost, count(*) FILTER (kept > 0 AND kept < gold) AS some_lost FROM p GROUP BY 1""",
+    "salvaged_json": "SELECT event_type, count(*) AS n, count(props) AS found, sum((props->>'$.k')::DOUBLE)::BIGINT AS k FROM events GROUP BY 1",
     "scaled_tasks": f"WITH {_ITEMS} SELECT id, query_type, row_number() OVER (PARTITION BY query_type ORDER BY id) AS place FROM it WHERE status = 'machine_verified' QUALIFY place <= CASE query_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in golden.scaled_quota(golden.TASK_QUOTA, 10).items()) + " END",
 }

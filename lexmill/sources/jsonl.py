@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -31,3 +35,27 @@ def write_json_lines(rows: DataFrame, path: str, order: list[str], partition_by:
     """One JSON object a line with sorted keys, in the given order across and within the part files."""
     ordered = rows.select(*sorted(rows.columns)).orderBy(*order)
     (ordered.write.partitionBy(*partition_by) if partition_by else ordered.write).json(path)
+
+
+def first_object(text: str | Column) -> Column:
+    """The first JSON object that stands anywhere in a text, whatever is around it, as JSON with sorted keys.
+
+    Fences and braces in prose or strings do not mislead it: each opening brace is tried in turn. Null where
+    there is none; objects of any length are read whole."""
+
+    @F.pandas_udf("string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decode = json.JSONDecoder().raw_decode
+        for batch in batches:
+            out: list[str | None] = []
+            for t in batch:
+                at, found = (t or "").find("{"), None
+                while at >= 0 and found is None:
+                    try:
+                        found = json.dumps(decode(t, at)[0], sort_keys=True, ensure_ascii=False)
+                    except (ValueError, RecursionError):
+                        at = t.find("{", at + 1)
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    return find(text)

@@ -36,3 +36,12 @@ def test_interleaving_and_round_robin(spark):
     seeds = selection.round_robin(spark.createDataFrame([("a",), ("b",), ("c",)], "d string"), "d", ["r1", "r2"], 7).orderBy("seed").collect()
     assert [r["seed"] for r in seeds] == list(range(7)) and [r["reason"] for r in seeds] == ["r1", "r2"] * 3 + ["r1"]
     assert len({r["d"] for r in seeds[:3]}) == 3
+
+
+def test_the_first_object_in_a_text(spark):
+    from lexmill.sources.jsonl import first_object
+
+    rows = [('x {"b": 1, "a": "}{"} {"c": 2}', '{"a": "}{", "b": 1}'), ("```json\n{}\n```", "{}"), ('{not} {"a": {"b": [1]}}', '{"a": {"b": [1]}}'), ("{", None), ("", None), (None, None), ('{"a": 1', None), ('{"a": "' + "x" * 50_000 + '"}', '{"a": "' + "x" * 50_000 + '"}')]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", first_object("t").alias("got"))
+    assert all(r["got"] == r["want"] for r in df.collect())
+    assert df.limit(0).count() == 0
