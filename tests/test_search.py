@@ -195,3 +195,44 @@ def test_running_sums_in_slices(spark):
                 total, last = total + (x or 0.0), v or last
                 assert got[i] == (total, last)
     assert running(in_slices(df.limit(0), ["k"], ["i"], "t"), ["k"], ["i"], {"total": F.col("x")}).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_bm25_passes_on_no_more_than_the_best_of_each_task(spark, monkeypatch, width):
+    """What a search writes to disk follows the units and the wanted hits, not queries times units."""
+    from lexmill.functions import text as T
+
+    random.seed(3)
+    words = ["Duty", "records", "a", "of", "bank", "SHALL", "keep", "Kept", "café", "x1y", "fund\nrisk"]
+    texts = {f"u{i:03d}": " ".join(random.choices(words, k=random.randint(0, 30))) for i in range(300)}
+    units = spark.createDataFrame([*texts.items(), ("nil", None)], "uid string, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(random.choices(words, k=8))) for i in range(40)], "query_id string, text string")
+    terms = T.tokens if width == 1 else T.bigrams
+    asked = asked.select("query_id", terms("text").alias("terms")).localCheckpoint()
+    held = {r["uid"]: r["t"] for r in units.where("text IS NOT NULL").select("uid", terms("text").alias("t")).collect()}
+    mean, df = sum(map(len, held.values())) / len(held), {}
+    for t in held.values():
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    want = []
+    for q, wanted in asked.collect():
+        scores = []
+        for u, t in held.items():
+            idf = {x: math.log((len(held) - df[x] + 0.5) / (df[x] + 0.5) + 1) for x in set(wanted) & set(t)}
+            if idf:
+                scores.append((-round(sum(v * t.count(x) * 2.2 / (t.count(x) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x, v in idf.items()), 9), u))
+        want += [(q, u, -s, i + 1) for i, (s, u) in enumerate(sorted(scores)[:5])]
+    tasks = []
+    best = lexical._best
+    monkeypatch.setattr(lexical, "_best", lambda *a: (lambda out: (tasks.append((a[0].rdd.getNumPartitions(), out.count())), out)[1])(best(*a)))
+    monkeypatch.setattr(lexical, "SCORES", 400)
+    rows = units.select("uid", F.lower("text").alias("terms"))
+    got = sorted(map(tuple, lexical.bm25(rows, asked, 5, width=width).collect()))
+    assert [g[:2] + g[3:] for g in got] == sorted(w[:2] + w[3:] for w in want)
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], abs=2e-9)
+    assert len(tasks) == 1 and tasks[0][1] <= tasks[0][0] * 40 * 5
+    # In several rounds of queries the same comes out.
+    monkeypatch.setattr(lexical, "PAIRS", 30)
+    assert sorted(map(tuple, lexical.bm25(rows, asked, 5, width=width).collect())) == got and len(tasks) > 2
+    assert lexical.bm25(rows, asked.limit(0), 5, width=width).count() == 0
+    assert lexical.bm25(rows.limit(0), asked, 5, width=width).count() == 0
