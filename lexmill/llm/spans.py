@@ -29,6 +29,7 @@ GEAR, NEAR, REACH = 16, 8, 64
 LEAST = 140
 HOT = 512  # texts above which those of a chunk are paired by windows of the whole length instead
 SHARE_HOT = 32  # the same for shares, where windows need no pairs
+CHARS, ROWS = 1 << 20, 1 << 18  # characters and windows that a task works on at once: a batch of records holds any number of either
 DIGESTS = 500_000  # shared digests, of some 140 bytes in memory, that are broadcast; more are joined by a shuffle
 _U = np.uint32
 
@@ -133,6 +134,18 @@ def _names(texts: list[str]) -> tuple[pa.Array, pa.Array]:
     return pa.array(halves[::2]), pa.array(halves[1::2])
 
 
+def _cut(texts: dict[int, str]) -> Iterator[pa.RecordBatch]:
+    """digest, t1, place of the chunks of named texts, of at most CHARS characters at once, or of one text."""
+    names, ends = list(texts), np.cumsum([0, *map(len, texts.values())])
+    at = 0
+    while at < len(names):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHARS, "right")) - 1)
+        owner, start, number, d = chunk_digests([texts[n] for n in names[at:stop]])
+        place = (start << 32) | (number & 0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(names[at:stop], pa.int64()).take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
+        at = stop
+
+
 def _shared_chunks(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, chunks, texts): live records, the chunks that several live texts have, and all long texts."""
     rows = records.where("key IS NOT NULL AND text IS NOT NULL").select("key", "grp", "at", "text")
@@ -152,9 +165,7 @@ def _shared_chunks(records: DataFrame, least: int) -> tuple[DataFrame, DataFrame
             if len(seen) > 500_000:
                 seen.clear()
             seen.update(fresh)
-            owner, start, number, d = chunk_digests(list(fresh.values()))
-            place = (start << 32) | (number & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(list(fresh), pa.int64()).take(pa.array(owner)), pa.array(place)], names=["digest", "t1", "place"])
+            yield from _cut(fresh)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +215,7 @@ def _measured(pairs: DataFrame, members: DataFrame, long: DataFrame, least: int,
     both = anchors.join(side("a"), "a1").join(side("b"), "b1").select("a1", "a2", "b1", "b2", "shift", "at", "a_text", "b_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, len(b), 1024)):
             columns = batch.to_pydict()
             found = []
             codes: dict[str, np.ndarray] = {}
@@ -274,9 +285,10 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     """Digests of the windows of ``least`` characters that hold one of the starts, and of those before them.
 
     Of a repetition only the first and the last chunk are known, so the windows between them belong to it."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    rows = 0
     for batch in batches:
-        parts = []
-        for t1, starts, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for t1, starts, text in (tuple(c.as_py() for c in row) for row in zip(*batch.columns)):
             digest = window_digests(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), least)
             wanted = np.zeros(len(digest), bool)
             starts = sorted(starts)
@@ -287,8 +299,17 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             at = np.flatnonzero(wanted)
             fresh = (at == 0) | ~wanted[np.maximum(at - 1, 0)]
             parts.append((digest[at], np.full(len(at), t1, np.int64), at.astype(np.int32), digest[np.maximum(at - 1, 0)], fresh))
-        d, t, at, ahead, fresh = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(at), pa.array(ahead, mask=fresh)], names=["digest", "t1", "start", "ahead"])
+            rows += len(at)
+            if rows >= ROWS:
+                yield _put_together(parts)
+                parts, rows = [], 0
+    if parts:
+        yield _put_together(parts)
+
+
+def _put_together(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    d, t, at, ahead, fresh = (np.concatenate(c) for c in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(at), pa.array(ahead, mask=fresh)], names=["digest", "t1", "start", "ahead"])
 
 
 def _repeats(text: str, longest: int = REACH) -> bool:

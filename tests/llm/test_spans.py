@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import spans as S
@@ -161,3 +162,22 @@ def test_one_boilerplate_in_many_texts_costs_rows_in_proportion(spark, monkeypat
     got = S.shared_share(spark.createDataFrame(rows, SCHEMA)).groupBy("shared_chars").count().collect()
     assert all(r["shared_chars"] >= len(phrase) for r in got) and sum(r["count"] for r in got) == n
     assert sizes["spans-anchors"] == 0 and sizes["spans-wide"] <= 400 * n
+
+
+def test_a_task_works_on_bounded_pieces_of_a_batch(monkeypatch):
+    """However many texts a batch of records has, what is held at once is bounded and the chunks and windows are the same."""
+    random.seed(8)
+    texts = {i: "".join(random.choices("abcdef ghij", k=random.randint(0, 600))) for i in range(200)} | {900: "xyz " * 1500}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([[len(t) // 2] for t in texts.values()], pa.list_(pa.int32())), pa.array(list(texts.values()))], names=["t1", "starts", "text"])
+    whole, windows = list(S._cut(texts)), list(S._windows(iter([batch]), 140))
+    assert len(whole) == len(windows) == 1
+    monkeypatch.setattr(S, "CHARS", 2000)
+    monkeypatch.setattr(S, "ROWS", 500)
+    seen = []
+    digests = S.chunk_digests
+    monkeypatch.setattr(S, "chunk_digests", lambda t: (seen.append(t), digests(t))[1])
+    parts, some = list(S._cut(texts)), list(S._windows(iter([batch]), 140))
+    assert sum(map(len, seen)) == len(texts) and all(sum(map(len, t)) <= 2000 or len(t) == 1 for t in seen)
+    plain = lambda bs: [(d, t, p >> 32) for b in bs for d, t, p in zip(*(c.to_pylist() for c in b.columns))]
+    assert plain(parts) == plain(whole)
+    assert max(map(len, some)) < 500 + 140 and pa.Table.from_batches(some).to_pylist() == pa.Table.from_batches(windows).to_pylist()
