@@ -236,3 +236,36 @@ def test_bm25_passes_on_no_more_than_the_best_of_each_task(spark, monkeypatch, w
     assert sorted(map(tuple, lexical.bm25(rows, asked, 5, width=width).collect())) == got and len(tasks) > 2
     assert lexical.bm25(rows, asked.limit(0), 5, width=width).count() == 0
     assert lexical.bm25(rows.limit(0), asked, 5, width=width).count() == 0
+
+
+def searched(spark, folder, sections=1500, asked=40):
+    """Tables in which every section shares words and word pairs with every question."""
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    random.seed(8)
+    words = ["capital", "record", "keeper", "retain", "notice", "review"]
+    text = lambda n: " ".join(["shall keep", *random.choices(words, k=n)])
+    rows = [(f"d{i % 50}:{i // 50}", f"d{i % 50}", f"{i // 50}", "Records", i, text(random.randint(3, 9)), at) for i in range(sections)]
+    spark.createDataFrame(rows, "section_uid string, doc_id string, section_path string, heading string, ordinal int, text string, made_at timestamp_ntz").repartition(4).write.parquet(f"{folder}/sections.parquet")
+    spark.createDataFrame([(f"{r[0]}#0", r[0], 0, at) for r in rows], "chunk_id string, section_uid string, ordinal int, made_at timestamp_ntz").write.parquet(f"{folder}/chunks.parquet")
+    items = [(f"gs-{i * 20:07d}", f"Who {r[5]} and who {text(3)}?", "a", "factual", [(r[1], r[2])], "ready", at) for i, r in enumerate(random.sample(rows, asked))]
+    spark.createDataFrame(items, "id string, question string, answer string, query_type string, gold_spans array<struct<doc_id string, section_path string>>, status string, built_at timestamp_ntz").write.parquet(f"{folder}/items.parquet")
+
+
+def shuffled(spark):
+    """Bytes that this session's tasks have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("name", ["ranking_metrics"])
+def test_what_a_search_shuffles_does_not_follow_queries_times_sections(spark, tmp_path, name):
+    """60,000 pairs of a question and a section share a word; scores of all of them would be some megabytes."""
+    import __spark_entry__ as entry
+
+    searched(spark, str(tmp_path))
+    before = shuffled(spark)
+    assert entry.queries()[name](spark, str(tmp_path)).collect()
+    assert shuffled(spark) - before < 380_000
