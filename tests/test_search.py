@@ -260,7 +260,7 @@ def shuffled(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
-@pytest.mark.parametrize("name", ["ranking_metrics", "saturation_gate", "sweep_aggregate", "bm25_chunk_units", "decomposed_rrf", "documents_of_hits", "rerank_window", "hybrid_rrf", "switch_verdicts", "context_budget", "negative_excerpts"])
+@pytest.mark.parametrize("name", ["ranking_metrics", "saturation_gate", "sweep_aggregate", "bm25_chunk_units", "decomposed_rrf", "documents_of_hits", "rerank_window", "hybrid_rrf", "switch_verdicts", "context_budget", "displacement_tally", "negative_excerpts"])
 def test_what_a_search_shuffles_does_not_follow_queries_times_sections(spark, tmp_path, name):
     """60,000 pairs of a question and a section share a word; scores of all of them would be some megabytes."""
     import __spark_entry__ as entry
