@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import context, fusion, lexical, metrics, vector
+from lexmill.operators import context, fusion, lexical, metrics, selection, vector
 
 
 def ranked(spark, arms):
@@ -269,3 +269,52 @@ def test_what_a_search_shuffles_does_not_follow_queries_times_sections(spark, tm
     before = shuffled(spark)
     assert entry.queries()[name](spark, str(tmp_path)).collect()
     assert shuffled(spark) - before < 380_000
+
+
+@pytest.mark.parametrize(("pairs", "meetings"), [(500_000, 1 << 20), (3, 5)])
+def test_topical_units_against_brute_force(spark, monkeypatch, pairs, meetings):
+    """Superseded rows, units without document, text or ordinal, words within longer ones, and ties; in one block and round, and in many."""
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    monkeypatch.setattr(selection, "MEETINGS", meetings)
+    random.seed(9)
+    words = ["capital", "record", "keeper", "notice", "review"]
+    kinds = [*words, "RECORDED", "bookkeepers", "re-view", "capi", "tal", "2notices"]
+    rows = []
+    for i in range(150):
+        doc = random.choice(["long", "long", "long", "a", "b", None])
+        for at in range(random.randint(1, 2)):
+            text = random.choice([None, *[" ".join(random.choices([*kinds, "shall", "must"], k=random.randint(0, 12))) for _ in range(9)]])
+            rows.append((f"u{i:03d}", at, doc, random.choice([None, *range(-2, 30)]), text))
+    asked = {f"q{i}": random.sample(words, k=random.randint(0, 5)) for i in range(12)}
+    ranked = [(q, f"u{u:03d}", i + 1) for q in asked for i, u in enumerate(random.sample(range(150), 4))]
+    live = {r[0]: r for r in rows}  # the later row of a unit is the newer one
+    want = set()
+    for q, of in asked.items():
+        hits = {u: rank for x, u, rank in ranked if x == q}
+        for doc in {live[u][2] for u in hits}:
+            found = [(0, hits[u], 0, u) for u in hits if live[u][2] == doc]
+            for u, _, own, ordinal, text in live.values():
+                n = sum(w in (text or "").lower() for w in of)
+                if doc and own == doc and u not in hits and {"shall", "must"} & set((text or "").split()) and n >= 2:
+                    found.append((1, -n, 99 if ordinal is None else ordinal, u))
+            want |= {(q, doc, x[-1], i + 1) for i, x in enumerate(sorted(found)[:6])}
+    units = spark.createDataFrame(rows, "uid string, at int, doc_id string, ordinal int, text string").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, words array<string>")
+    got = [tuple(r) for r in selection.topical_units(spark.createDataFrame(ranked, "query_id string, uid string, rank int"), units, queries).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
+def test_a_long_document_is_not_multiplied_by_the_questions_that_hit_it(spark, tmp_path):
+    """Each of 40 questions finds two of its words in all 3,000 sections of one document: 120,000 rows if they were joined, which shuffled 283,245 bytes."""
+    import datetime as dt
+
+    import __spark_entry__ as entry
+
+    at, folder = dt.datetime(2024, 1, 1), str(tmp_path)
+    rows = [(f"d:{i}", "d", f"{i}", "Records", i, f"The keeper shall retain capital and case{i % 40:02d}.".replace("0", "a").replace("1", "b"), at) for i in range(3000)]
+    spark.createDataFrame(rows, "section_uid string, doc_id string, section_path string, heading string, ordinal int, text string, made_at timestamp_ntz").repartition(4).write.parquet(f"{folder}/sections.parquet")
+    items = [(f"gs-{i * 20:07d}", "Which keeper has capital?", "a", "factual", [("d", "0")], "ready", at) for i in range(40)]
+    spark.createDataFrame(items, "id string, question string, answer string, query_type string, gold_spans array<struct<doc_id string, section_path string>>, status string, built_at timestamp_ntz").write.parquet(f"{folder}/items.parquet")
+    before = shuffled(spark)
+    assert entry.queries()["topical_clauses"](spark, folder).count() == 40 * 6
+    assert shuffled(spark) - before < 150_000
